@@ -46,3 +46,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out._textloom_path = path
     return out
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has, whatever extra columns it carries."""
+    used, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out

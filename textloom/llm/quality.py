@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import words as W
-from textloom.llm.common import written
+from textloom.llm.common import free, written
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 GRID, STEPS, COVER, MIN_ROWS, STEP_E = 256, 3, 0.75, 200, 24
@@ -224,8 +224,9 @@ def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     The verdict table is keyed by doc_id, lang, source and the text's hash, and joined back as a set of rejects.
     """
     key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00")), F.xxhash64("text"), F.length("text")]
-    keyed = docs.withColumn("_key", F.xxhash64(*key))
-    stats = written(text_stats(keyed, ("_key", "lang", "source")), "quality-stats")
-    bad = robust_verdict(stats, cutoff).filter(base_failed() | F.col("outlier")).select("_key").distinct()
+    (name,) = free(docs, "_key")
+    keyed = docs.withColumn(name, F.xxhash64(*key))
+    stats = written(text_stats(keyed, (name, "lang", "source")), "quality-stats")
+    bad = robust_verdict(stats, cutoff).filter(base_failed() | F.col("outlier")).select(name).distinct()
     bad = written(bad, "quality-rejects")
-    return keyed.join(F.broadcast(bad) if bad.count() <= 2_000_000 else bad, "_key", "left_anti").select(*docs.columns)
+    return keyed.join(F.broadcast(bad) if bad.count() <= 2_000_000 else bad, name, "left_anti").select(*docs.columns)

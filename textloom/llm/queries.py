@@ -4,16 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.llm import secrets
 from textloom.llm.common import table
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm import quality
 
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_secret_scans": op1_secret_scans,
     "op8_quality_rules": op8_quality_rules,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_secret_scans": secrets.oracle_sql()}
