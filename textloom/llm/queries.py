@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import secrets
-from textloom.llm.common import table
+from textloom.llm.common import new_path, table
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import records
+
+    folder = new_path(spark, "token-files")
+    return records.read(records.write(table(spark, sf_dir, "documents"), folder), folder)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm import quality
 
@@ -26,6 +39,8 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
+    "op2_packing": op2_packing,
+    "op4_token_output": op4_token_output,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
