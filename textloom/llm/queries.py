@@ -25,6 +25,12 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read(records.write(table(spark, sf_dir, "documents"), folder), folder)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import html
+
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm import quality
 
@@ -37,11 +43,19 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import lm
+
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_packing": op2_packing,
     "op4_token_output": op4_token_output,
+    "op5_html_extraction": op5_html_extraction,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 SQL: dict[str, str] = {"op1_secret_scans": secrets.oracle_sql()}
