@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import secrets
+from textloom.llm import secrets, topk
 from textloom.llm.common import new_path, table
 
 
@@ -31,6 +31,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm import quality
 
@@ -54,8 +58,9 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op4_token_output": op4_token_output,
     "op5_html_extraction": op5_html_extraction,
+    "op7_exact_topk": op7_exact_topk,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_lm_scoring": op10_lm_scoring,
 }
-SQL: dict[str, str] = {"op1_secret_scans": secrets.oracle_sql()}
+SQL: dict[str, str] = {"op1_secret_scans": secrets.oracle_sql(), "op7_exact_topk": topk.oracle_sql()}
