@@ -31,6 +31,12 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import transducer
+
+    return transducer.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -58,6 +64,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op4_token_output": op4_token_output,
     "op5_html_extraction": op5_html_extraction,
+    "op6_token_counts": op6_token_counts,
     "op7_exact_topk": op7_exact_topk,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
