@@ -1 +1 @@
-"""Spark-first text operators."""
+"""Parts of the engine: functions."""

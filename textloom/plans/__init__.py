@@ -1 +1 @@
-"""Spark-first text operators."""
+"""Whole pipelines: scrape, annotate, flatten, train text. Each is a plan of functions and operators."""

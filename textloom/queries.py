@@ -1,6 +1,361 @@
-"""Registered queries over the driver's tables, and the same in SQL."""
+"""Registered queries over the driver's tables, and the same in DuckDB's SQL.
+
+Each query runs one operator over a whole table. Where the tables lack what an operator is for (curly quotes, dates in
+pages), the query puts it into the rows by an expression of the row's own columns, in both languages.
+"""
 
 from __future__ import annotations
 
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.functions import dates, pages, text, urls
+from textloom.functions.text import Rules
+from textloom.operators import annotate, chat, crawl, ordering, qa
+from textloom.plans import pipelines
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# white space that the tables hold is ASCII, so SQL may trim that alone
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_COMPACT = "array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, {ws})), lambda x: x <> ''), chr(10))".format(ws=_WS)
+
+
+@query(f"SELECT doc_id, {_COMPACT} AS clean FROM documents")
+def clean_lines(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.compact(F.coalesce("text", F.lit(""))).alias("clean"))
+
+
+@query("SELECT doc_id, lang, source, length(text) AS n FROM documents WHERE length(text) >= 200")
+def min_length(spark, d):
+    return read(spark, d, "documents").filter(F.length("text") >= 200).select("doc_id", "lang", "source", F.length("text").cast("long").alias("n"))
+
+
+@query("SELECT min(doc_id) AS doc_id, sha256(text) AS h FROM documents GROUP BY text")
+def dedup_first(spark, d):
+    return ordering.first_occurrence(read(spark, d, "documents").select("doc_id", "text"), ["text"], ["doc_id"]).select("doc_id", F.sha2("text", 256).alias("h"))
+
+
+@query(
+    f"WITH c AS (SELECT doc_id, lang, source, {_COMPACT} AS t FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS k FROM c WHERE length(t) >= 200) "
+    "SELECT doc_id, lang, source, length(t) AS n_clean FROM r WHERE k = 1"
+)
+def dedup_clean_articles(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "lang", "source", text.compact(F.coalesce("text", F.lit(""))).alias("t"))
+    kept = ordering.first_occurrence(docs.filter(F.length("t") >= 200), ["t"], ["doc_id"])
+    return kept.select("doc_id", "lang", "source", F.length("t").cast("long").alias("n_clean"))
+
+
+_MARKS = ("Licensed under", "ALL RIGHTS", "und der")
+
+
+@query("SELECT doc_id, left(text, least(" + ", ".join(f"CASE WHEN strpos(lower(text), '{m.lower()}') > 0 THEN strpos(lower(text), '{m.lower()}') - 1 ELSE length(text) END" for m in _MARKS) + ")::BIGINT) AS cut FROM documents")
+def cut_marker_ci(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.cut_at_any_case("text", _MARKS).alias("cut"))
+
+
+@query("SELECT doc_id, split_part(split_part(text, 'Licensed', 1), ' the ', 1) AS cut FROM documents")
+def cut_marker(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.cut_at("text", ["Licensed", " the "]).alias("cut"))
+
+
+@query("SELECT doc_id, least(" + ", ".join(f"coalesce(nullif(strpos(text, '{m}'), 0), 1000000000)" for m in ("the", "der", "que")) + ")::INTEGER AS at FROM documents WHERE regexp_matches(text, 'the|der|que')")
+def earliest_marker(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.earliest("text", ["the", "der", "que"]).alias("at")).filter(F.col("at").isNotNull())
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 500 THEN left(text, 500) || chr(10) || chr(10) || '[TRUNCATED]' ELSE text END AS cut FROM documents")
+def truncate(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.truncate("text", 500).alias("cut"))
+
+
+_SPACED = "replace(replace(text, '. ', '.' || chr(10) || chr(10) || chr(10) || chr(10)), ', ', '  ,' || chr(9) || ' ' || chr(10) || ' ')"
+
+
+@query(rf"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace({_SPACED}, '[ \t]*\n[ \t]*', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), {_WS}) AS tidy FROM documents")
+def collapse_newlines(spark, d):
+    spaced = F.replace(F.replace("text", F.lit(". "), F.lit(".\n\n\n\n")), F.lit(", "), F.lit("  ,\t \n "))
+    return read(spark, d, "documents").select("doc_id", text.tidy_space(spaced).alias("tidy"))
+
+
+_FANCY = [*text.APOSTROPHES, *text.DOUBLE_QUOTES, *text.DASHES, *text.SPACES]
+_PLAIN = "''" * len(text.APOSTROPHES) + '"' * len(text.DOUBLE_QUOTES) + "-" * len(text.DASHES) + " " * len(text.SPACES)
+
+
+@query(
+    f"SELECT doc_id, translate(chr([{', '.join(str(ord(c)) for c in _FANCY)}][(doc_id % {len(_FANCY)} + 1)::BIGINT]) || replace(text, ' e', chr(8212) || 'e'), '{''.join(_FANCY)}', '{_PLAIN}') AS plain FROM documents"
+)
+def normalize_punct(spark, d):
+    one = F.element_at(F.array(*map(F.lit, _FANCY)), (F.col("doc_id") % len(_FANCY) + 1).cast("int"))
+    return read(spark, d, "documents").select("doc_id", text.plain_punctuation(F.concat(one, F.replace("text", F.lit(" e"), F.lit("—e")))).alias("plain"))
+
+
+@query(
+    f"""WITH q AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '"' || text || '"' WHEN 1 THEN '''' || text || '''' WHEN 2 THEN '"' || text || '''' ELSE text END AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) >= 2 AND left(t, 1) = right(t, 1) AND left(t, 1) IN ('"', '''') THEN trim(substr(t, 2, length(t) - 2), {_WS}) ELSE t END AS bare FROM q"""
+)
+def strip_outer_quotes(spark, d):
+    k, t = F.col("doc_id") % 4, F.col("text")
+    given = F.when(k == 0, F.concat(F.lit('"'), t, F.lit('"'))).when(k == 1, F.concat(F.lit("'"), t, F.lit("'"))).when(k == 2, F.concat(F.lit('"'), t, F.lit("'"))).otherwise(t)
+    return read(spark, d, "documents").select("doc_id", text.unquoted(given).alias("bare"))
+
+
+@query(
+    "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), p AS (SELECT *, coalesce(list_position(list_transform(a, lambda x: starts_with(x, 'Licensed') OR starts_with(x, 'On')), true), 0) AS k FROM l) "
+    "SELECT doc_id, array_to_string(CASE WHEN k > 0 THEN a[1:k - 1] ELSE a END, chr(10)) AS body FROM p"
+)
+def stop_prefix(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.array_join(text.until_prefix(text.lines("text"), ["Licensed", "On"]), "\n").alias("body"))
+
+
+_RULES = Rules(cut=("Licensed under",), drop_prefix=("All rights",), drop_exact=("Advertisement",), drop_regex=(text.CLOCK,), cut_any_case=("ALL RIGHTS RESERVED",))
+
+
+@query(
+    f"""WITH c AS (SELECT doc_id, replace(split_part(text, 'Licensed under', 1), 'and. ', chr(10) || '9:05' || chr(10) || 'Advertisement' || chr(10)) AS t FROM documents),
+l AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, {_WS})), lambda x: x <> '' AND NOT starts_with(x, 'All rights') AND x <> 'Advertisement' AND NOT regexp_full_match(x, '\\d{{1,2}}:\\d{{2}}')), chr(10)) AS t FROM c)
+SELECT doc_id, trim(CASE WHEN strpos(lower(t), 'all rights reserved') > 0 THEN left(t, strpos(lower(t), 'all rights reserved') - 1) ELSE t END, {_WS}) AS clean FROM l"""
+)
+def site_rules(spark, d):
+    given = F.replace(text.cut_at("text", _RULES.cut), F.lit("and. "), F.lit("\n9:05\nAdvertisement\n"))
+    return read(spark, d, "documents").select("doc_id", text.site_clean(given, _RULES).alias("clean"))
+
+
+@query()
+def nfkc(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.normalise(F.concat(F.lit("ﬁ ½ … Å​\r\n"), "text")).alias("clean"))
+
+
+@query(
+    f"WITH n AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS row_no FROM documents) SELECT doc_id, row_no FROM n WHERE row_no >= 50 AND source <> 'src3' AND trim(text, {_WS}) <> '' ORDER BY row_no LIMIT 100"
+)
+def start_row_limit(spark, d):
+    docs = read(spark, d, "documents").withColumn("url", F.when(F.col("source") == "src3", F.lit(" ")).otherwise(F.col("source")))
+    return ordering.required(ordering.numbered(docs, "doc_id"), 50, 100).select("doc_id", "row_no")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS row_no FROM documents")
+def row_numbers(spark, d):
+    return ordering.numbered(read(spark, d, "documents").select("doc_id"), "doc_id").select("doc_id", "row_no")
+
+
+@query(
+    f"""SELECT doc_id, 'ARTICLE_METADATA' || chr(10) || 'source: ' || coalesce(source, '') || chr(10) || 'title: ' || coalesce(lang, '') || chr(10) || 'published_at: ' || chr(10) || 'url: ' || doc_id || chr(10) || chr(10)
+|| 'ARTICLE_TEXT' || chr(10) || '\"\"\"' || chr(10) || CASE WHEN length(t) > 300 THEN left(t, 300) || chr(10) || chr(10) || '[TRUNCATED]' ELSE t END || chr(10) || '\"\"\"' || chr(10) AS prompt
+FROM (SELECT *, trim(regexp_replace(text, '\\n{{3,}}', chr(10) || chr(10), 'g'), {_WS}) AS t FROM documents)""".replace('\\"', '"')
+)
+def prompt_build(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "source", F.col("lang").alias("title"), F.lit(None).cast("string").alias("published_at"), F.col("doc_id").cast("string").alias("url"), "text")
+    return docs.select("doc_id", text.prompt(300).alias("prompt"))
+
+
+def _stored(spark, d) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", F.col("url"), "html")
+
+
+_HREFS = r"""regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1)"""
+_BASE = "'https://site.example.org/x/y'"
+
+
+@query(f"SELECT page_id, generate_subscripts(h, 1)::INTEGER - 1 AS pos, unnest(h) AS href FROM (SELECT page_id, {_HREFS} AS h FROM pages)")
+def page_links(spark, d):
+    return _stored(spark, d).select("page_id", F.posexplode(pages.hrefs("html")).alias("pos", "href"))
+
+
+@query(
+    f"""WITH a AS (SELECT page_id, generate_subscripts(h, 1)::INTEGER - 1 AS pos, unnest(h) AS href FROM (SELECT page_id, {_HREFS} AS h FROM pages)),
+r AS (SELECT page_id, pos, 'https://site.example.org' || trim(split_part(href, '#', 1), {_WS}) AS url FROM a WHERE starts_with(href, '/'))
+SELECT url, min(struct_pack(page_id := page_id, pos := pos)).page_id AS page_id, min(struct_pack(page_id := page_id, pos := pos)).pos AS pos FROM r WHERE regexp_matches(url, '^https://site[.]example[.]org/[a-z]') GROUP BY url"""
+)
+def article_links_first(spark, d):
+    base = F.lit("https://site.example.org/x/y")
+    found = pages.links(_stored(spark, d), r"https://site\.example\.org/[a-z]", "example.org", base, page="page_id").withColumnsRenamed({"dst": "url", "src": "page_id"})
+    return ordering.first_occurrence(found, ["url"], ["page_id", "pos"]).select("url", "page_id", "pos")
+
+
+@query(
+    f"""WITH a AS (SELECT page_id, generate_subscripts(h, 1)::INTEGER - 1 AS pos, unnest(h) AS href FROM (SELECT page_id, {_HREFS} AS h FROM pages)),
+f AS (SELECT href, min(struct_pack(page_id := page_id, pos := pos)).page_id AS page_id FROM a GROUP BY href), n AS (SELECT page_id, count(*) AS n FROM f GROUP BY page_id)
+SELECT page_id, coalesce(n, 0)::BIGINT AS new_count FROM (SELECT DISTINCT page_id FROM a) LEFT JOIN n USING (page_id)"""
+)
+def new_links_per_page(spark, d):
+    found = _stored(spark, d).select("page_id", F.posexplode(pages.hrefs("html")).alias("pos", "href"))
+    return ordering.new_per_page(found, "page_id", "pos", "href")
+
+
+@query(
+    f"""WITH a AS (SELECT page_id, generate_subscripts(h, 1)::INTEGER - 1 AS pos, unnest(h) AS href FROM (SELECT page_id, {_HREFS} AS h FROM pages)),
+f AS (SELECT href, min(struct_pack(page_id := page_id, pos := pos)).page_id AS page_id FROM a GROUP BY href), n AS (SELECT page_id, count(*) AS n FROM f GROUP BY page_id),
+s AS (SELECT min(page_id) AS stop FROM (SELECT DISTINCT page_id FROM a) LEFT JOIN n USING (page_id) WHERE coalesce(n, 0) = 0)
+SELECT href, min(page_id) AS page_id FROM a, s WHERE stop IS NULL OR page_id < stop GROUP BY href"""
+)
+def paging_stop(spark, d):
+    found = _stored(spark, d).select("page_id", F.posexplode(pages.hrefs("html")).alias("pos", "href"))
+    return ordering.until_nothing_new(found, "page_id", "pos", "href").select("href", "page_id")
+
+
+@query(f"SELECT page_id, trim(split_part(url, '#', 1), {_WS}) AS url FROM pages")
+def url_normalize(spark, d):
+    return _stored(spark, d).select("page_id", urls.without_fragment("url").alias("url"))
+
+
+@query("SELECT page_id, url FROM pages WHERE regexp_matches(split_part(split_part(url, '://', 2), '/', 1), 'example[.]net$')")
+def url_host_filter(spark, d):
+    return _stored(spark, d).filter(urls.host_ends_with("url", "example.net")).select("page_id", "url")
+
+
+@query("SELECT page_id, url FROM pages WHERE regexp_matches(url, '^https?://[^/]+/en/[0-9]+/?$') AND url NOT LIKE 'https://m.%'")
+def url_allow_pattern(spark, d):
+    return _stored(spark, d).filter(urls.matches("url", r"https?://(?!m\.)[^/]+/en/\d+/?$|http://m\.[^/]+/en/\d+/?$")).select("page_id", "url")
+
+
+_H1 = r"trim(regexp_replace(replace(replace(regexp_replace(regexp_extract(html, '<h1\b[^>]*>(.*?)</h1>', 1, 'is'), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&amp;', '&'), '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, {_H1} AS title FROM pages")
+def page_title_h1(spark, d):
+    return _stored(spark, d).select("page_id", pages.h1("html").alias("title"))
+
+
+_CHAIN = _H1.replace("html,", "replace(html, '</h1', ' | Site x</h1'),")
+
+
+@query(rf"SELECT page_id, regexp_replace({_CHAIN}, '(?i)\s+\|\s+(Site).*$', '') AS title FROM pages")
+def page_title_chain(spark, d):
+    return _stored(spark, d).select("page_id", pages.title(F.replace("html", F.lit("</h1"), F.lit(" | Site x</h1")), ["Site"]).alias("title"))
+
+
+@query()
+def html_text(spark, d):
+    return pipelines.scrape(_stored(spark, d), pipelines.Site("stored", r"https?://"))
+
+
+@query()
+def html_longest(spark, d):
+    page = F.col("p")
+    parsed = _stored(spark, d).select("page_id", pages.parsed("html").alias("p"))
+    return parsed.select("page_id", F.length(pages.by_length(page, len(pages.DEFAULT_CONTAINERS), Rules())).alias("n"), pages.after_title(page["lines"], page["h1"], last=True).alias("body"))
+
+
+@query(
+    f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN '2024-05-0' || (page_id % 9 + 1) || 'T10:00:00' WHEN 1 THEN '2023-03-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0')
+WHEN 2 THEN '2022-06-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') || ' 9:05' ELSE '' END AS published_at FROM pages"""
+)
+def published_at(spark, d):
+    k, n = F.col("page_id") % 4, F.col("page_id")
+    html = F.when(k == 0, F.format_string('<meta property="article:published_time" content="2024-05-0%dT10:00:00">', n % 9 + 1)).otherwise(F.lit(""))
+    url = F.when(k == 1, F.format_string("https://e.org/2023/03/%02d/77", n % 28 + 1)).when(k == 2, F.lit("https://e.org/2022/01/31/5/")).otherwise(F.lit("https://e.org/2022/13/40/5"))
+    body = F.when(k == 2, F.format_string("By us — %d June, 9:05", n % 28 + 1)).otherwise(F.lit("no date"))
+    return _stored(spark, d).select("page_id", dates.published(html, body, url).alias("published_at"))
+
+
+@query("SELECT event_id, strftime(ts, '%d.%m.%Y %H:%M') AS dotted, date_trunc('minute', ts) AS at FROM events")
+def date_forms(spark, d):
+    dotted = dates.in_text(F.concat(F.lit("Published "), F.date_format("ts", "dd.MM.yyyy HH:mm"), F.lit(" here")), dates.DOTTED)
+    return read(spark, d, "events").select("event_id", dotted.alias("dotted"), dates.typed(dotted).cast("timestamp_ntz").alias("at"))
+
+
+@query("SELECT row_number() OVER (ORDER BY d DESC) AS page_no, CASE WHEN d = DATE '2024-03-02' THEN 'https://e.org/latest' ELSE 'https://e.org/date_' || strftime(d, '%d%m%Y') || '/' END AS url FROM (SELECT unnest(generate_series(TIMESTAMP '2024-02-20', TIMESTAMP '2024-03-02', INTERVAL 1 DAY))::DATE AS d)")
+def day_archive(spark, d):
+    return urls.day_pages(spark, "https://e.org/date_%s/", date(2024, 2, 20), date(2024, 3, 2), "https://e.org/latest", date(2024, 3, 2))
+
+
+@query("SELECT i AS page_no, CASE WHEN i = 1 THEN 'https://e.org/news/' ELSE 'https://e.org/news/page/' || i || '/' END AS url FROM (SELECT unnest(generate_series(1, 40)) AS i)")
+def archive_pages(spark, d):
+    return urls.numbered_pages(spark, "https://e.org/news/", 40)
+
+
+@query("SELECT i AS page_no, 'https://e.org/list?page=' || i AS url FROM (SELECT unnest(generate_series(2, 41)) AS i)")
+def rubric_pages(spark, d):
+    return urls.numbered_pages(spark, "https://e.org/list", 41, "?page=%d").filter(F.col("page_no") > 1)
+
+
+def _edges(spark, d) -> DataFrame:
+    return read(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.lit(0).alias("pos"), F.concat(F.lit("n"), (F.col("n_nationkey") * 7 + F.col("n_regionkey")) % 25).alias("dst"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS src, 'n' || ((n_nationkey * 7 + n_regionkey) % 25) AS dst FROM nation),
+w(url, depth) AS (SELECT 'n1', 0 UNION SELECT dst, depth + 1 FROM w JOIN e ON url = src WHERE depth < 10) SELECT url, min(depth)::INTEGER AS depth FROM w GROUP BY url"""
+)
+def crawl_bfs(spark, d):
+    return crawl.bfs(_edges(spark, d), ["n1"], 10)
+
+
+@query("SELECT event_id, user_id, strftime(ts, '%Y-%m-%d') AS day FROM events ORDER BY day DESC, event_id LIMIT 50")
+def latest_topk(spark, d):
+    rows = read(spark, d, "events").select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    return ordering.first_n(rows, 50, F.desc("day"), "event_id")
+
+
+@query(
+    "WITH e AS (SELECT user_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d') END AS m, event_id FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(m, '') DESC, event_id) AS k FROM e) "
+    "SELECT user_id AS loc, m AS lastmod, event_id AS ord FROM r WHERE k = 1 ORDER BY coalesce(m, '') DESC, event_id LIMIT 40"
+)
+def sitemap_latest(spark, d):
+    rows = read(spark, d, "events").select(F.col("user_id").alias("loc"), F.when(F.col("event_id") % 5 != 0, F.date_format("ts", "yyyy-MM-dd")).alias("lastmod"), F.col("event_id").alias("ord"))
+    return ordering.latest_first(rows, 40)
+
+
+@query("SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS v FROM events")
+def json_extract(spark, d):
+    fenced = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
+    v = F.from_json(annotate.extract_json(fenced), "map<string,string>")
+    return read(spark, d, "events").select("event_id", F.map_values(v)[0].alias("v"))
+
+
+_QA = "SELECT conv_id, turn, role, text AS question, lead(role) OVER w AS r, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"
+
+
+@query(f"SELECT conv_id, turn, question, answer FROM ({_QA}) WHERE role = 'user' AND r = 'assistant'")
+def qa_from_turns(spark, d):
+    return qa.pairs_of_turns(read(spark, d, "conversations"))
+
+
+def _tidy(c: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace({c}, '[ \t]*\n[ \t]*', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), {_WS})"
+
+
+@query(f"SELECT DISTINCT {_tidy('question')} AS question, {_tidy('answer')} AS answer FROM ({_QA}) WHERE role = 'user' AND r = 'assistant' AND {_tidy('question')} <> '' AND {_tidy('answer')} <> ''")
+def qa_flatten(spark, d):
+    rows = qa.pairs_of_turns(read(spark, d, "conversations"))
+    nested = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "question", "answer"))).alias("pairs"))
+    # elements that are no objects, and a record whose pairs are no list, fall out alone
+    obj = F.to_json(F.struct(F.col("pairs")))
+    obj = F.when(F.col("conv_id") % 3 == 0, F.replace(obj, F.lit('{"pairs":['), F.lit('{"pairs":[7,"x",{"question":"no answer"},'))).otherwise(obj)
+    records = nested.select(F.col("conv_id").alias("idx"), obj.alias("obj")).unionByName(spark.createDataFrame([(-1, '{"pairs":"x"}'), (-2, "[1]"), (-3, "no json"), (-4, "{}")], "idx long, obj string"))
+    return qa.flatten_variants(records).select("question", "answer")
+
+
+@query("SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def chat_render(spark, d):
+    return chat.with_text(chat.conversations(read(spark, d, "conversations"))).select("conv_id", "text")
+
+
+@query(f"SELECT '<|user|>' || chr(10) || question || '<|end|>' || chr(10) || '<|assistant|>' || chr(10) || answer || '<|end|>' || chr(10) AS text FROM ({_QA}) WHERE role = 'user' AND r = 'assistant'")
+def training_text(spark, d):
+    return pipelines.training_text(qa.pairs_of_turns(read(spark, d, "conversations"))).select("text")
+
+
+@query()
+def annotate_offline(spark, d):
+    docs = ordering.numbered(read(spark, d, "documents"), "doc_id").select("row_no", "source", F.col("lang").alias("title"), F.lit("").alias("published_at"), F.col("doc_id").cast("string").alias("url"), "text")
+    return pipelines.annotated(docs, annotate.OfflineProvider, start_row=1)
