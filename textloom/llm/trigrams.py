@@ -109,9 +109,10 @@ def build_index(docs: DataFrame, trigrams: list[str], id_col: str = "doc_id", te
     A trigram that every document holds has one posting a block, so no task gets a whole posting list. Rows without an
     id are not indexed.
     """
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    has = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams))))
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), has.alias("has")).select("id", F.explode("has").alias("trigram"))
+    # explode makes the lower-cased text a column of its own: else each of the tests below would lower-case it anew
+    low = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(F.array(F.lower(F.coalesce(F.col(text_col), F.lit(""))))).alias("low"))
+    has = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams))))
+    rows = low.select("id", has.alias("has")).select("id", F.explode("has").alias("trigram"))
     return rows.groupBy("trigram", F.floor(F.col("id") / BLOCK).alias("block")).agg(F.collect_set("id").alias("ids"))
 
 
