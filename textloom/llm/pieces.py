@@ -60,6 +60,9 @@ class PieceEncoder:
     def whole(self, text: str) -> list[int]:
         return self.tk.encode(text, add_special_tokens=False).ids
 
+    def _whole_row(self, row: bytes) -> list[int]:
+        return self.whole(row.decode())
+
     def _simple(self, text: str) -> list[int] | None:
         """Ids of letters with one final full stop or comma at most, straight from the model."""
         lead = self.bytes and text[:1] == " "
@@ -73,9 +76,8 @@ class PieceEncoder:
         ids = [t.id for t in model.tokenize(mapped(" " + core if lead else core))]
         return ids + [t.id for t in model.tokenize(body[len(core) :])] if len(body) > len(core) else ids
 
-    def _learn(self, pieces: list[tuple[int, bytes]]) -> None:
-        if len(self.slot) + len(pieces) > MOST_PIECES or self.used > MOST_IDS:
-            self.clear()
+    def _ids_of(self, pieces: list[tuple[int, bytes]]) -> list[tuple[int, list[int]]]:
+        """Hashes and ids of distinct pieces."""
         hard: list[tuple[int, str]] = []
         got: list[tuple[int, list[int]]] = []
         for h, b in pieces:
@@ -88,6 +90,12 @@ class PieceEncoder:
         for at in range(0, len(hard), 1000):
             part = hard[at : at + 1000]
             got += [(h, e.ids) for (h, _), e in zip(part, self.tk.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True)]
+        return got
+
+    def _learn(self, pieces: list[tuple[int, bytes]]) -> None:
+        if len(self.slot) + len(pieces) > MOST_PIECES or self.used > MOST_IDS:
+            self.clear()
+        got = self._ids_of(pieces)
         for h, ids in got:
             i = len(self.slot)
             if i >= len(self.begin):
@@ -163,7 +171,7 @@ class PieceEncoder:
         at = total[np.searchsorted(row, np.arange(n + 1))]
         if not odd.any():
             return ids, at
-        parts = [np.array(self.whole(data[offsets[i] : offsets[i + 1]].tobytes().decode()), np.uint32) if odd[i] else ids[at[i] : at[i + 1]] for i in range(n)]
+        parts = [np.array(self._whole_row(data[offsets[i] : offsets[i + 1]].tobytes()), np.uint32) if odd[i] else ids[at[i] : at[i + 1]] for i in range(n)]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
     def _learn_more(self, rest, keys, text, starts, ends, where) -> None:

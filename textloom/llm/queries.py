@@ -18,6 +18,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import viterbi
+
+    return viterbi.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm import records
 
@@ -62,6 +68,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_packing": op2_packing,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_token_output": op4_token_output,
     "op5_html_extraction": op5_html_extraction,
     "op6_token_counts": op6_token_counts,

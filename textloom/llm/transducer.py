@@ -27,61 +27,29 @@ from pyspark.sql import DataFrame
 
 from textloom.llm import words as W
 from textloom.llm.pieces import PieceEncoder, encoder, public_path
+from textloom.llm.tables import Table
 
 CHUNK, LONGEST, MOST_STATES, OVER = 256, 200, 3_000_000, 2048
 START, DEAD = 0, 1
 
 
 class Transducer:
-    """Transitions in an open hash table keyed by (state, byte); ``emits`` is the count on leaving a state by white space, -1 if none."""
+    """Transitions in a hash table keyed by (state, byte); ``emits`` is the count on leaving a state by white space, -1 if none."""
 
-    def __init__(self, own: PieceEncoder):
+    def __init__(self, own: PieceEncoder | None = None):
         self.own = own
         self.compile()
 
     def compile(self) -> None:
-        self.keys, self.next = np.zeros(1 << 18, np.uint64), np.zeros(1 << 18, np.int32)
+        self.moves = Table(DEAD)
         self.states, self.emits = 2, np.full(1 << 17, -1, np.int32)
         self.emits[START] = 0
 
-    def _slots(self, key: np.ndarray) -> np.ndarray:
-        return (key * W.M3 >> np.uint64(64 - (len(self.keys).bit_length() - 1))).astype(np.int64)
-
     def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """The next states; DEAD where there is no transition. The start has its own row for keys, and key 0 is empty."""
-        key = ((state.astype(np.uint64) + np.uint64(1)) << np.uint64(8)) | byte
-        slot = self._slots(key)
-        at = self.keys[slot]
-        out = np.where(at == key, self.next[slot], DEAD)
-        todo = np.flatnonzero((at != key) & (at != 0))
-        mask = len(self.keys) - 1
-        while len(todo):
-            slot[todo] = (slot[todo] + 1) & mask
-            at = self.keys[slot[todo]]
-            hit = at == key[todo]
-            out[todo[hit]] = self.next[slot[todo[hit]]]
-            todo = todo[~hit & (at != 0)]
-        return out
-
-    def _insert(self, key: np.ndarray, value: np.ndarray) -> None:
-        slot, mask = self._slots(key), len(self.keys) - 1
-        todo = np.arange(len(key))
-        while len(todo):
-            free = todo[self.keys[slot[todo]] == 0]
-            _, first = np.unique(slot[free], return_index=True)
-            put = free[first]
-            self.keys[slot[put]], self.next[slot[put]] = key[put], value[put]
-            done = np.zeros(len(key), bool)
-            done[put] = True
-            todo = todo[~done[todo]]
-            slot[todo] = (slot[todo] + 1) & mask
+        return self.moves.get(((state.astype(np.uint64) + np.uint64(1)) << np.uint64(8)) | byte)
 
     def _grow(self, more: int) -> None:
-        while 2 * (self.states + more) > len(self.keys):
-            old, at = self.keys, self.next
-            self.keys, self.next = np.zeros(2 * len(old), np.uint64), np.zeros(2 * len(old), np.int32)
-            used = old != 0
-            self._insert(old[used], at[used])
         if self.states + more > len(self.emits):
             more_emits = np.full(2 * (self.states + more), -1, np.int32)
             more_emits[: len(self.emits)] = self.emits
@@ -100,7 +68,7 @@ class Transducer:
                 key, inverse = np.unique(((state[live[new]].astype(np.uint64) + np.uint64(1)) << np.uint64(8)) | byte[new], return_inverse=True)
                 self._grow(len(key))
                 ids = np.arange(self.states, self.states + len(key), dtype=np.int32)
-                self._insert(key, ids)
+                self.moves.put(key, ids)
                 self.states += len(key)
                 to[new] = ids[inverse]
             state[live] = to
