@@ -29,7 +29,7 @@ from textloom.llm import words as W
 from textloom.llm.pieces import PieceEncoder, encoder, public_path
 from textloom.llm.tables import Table
 
-CHUNK, LONGEST, MOST_STATES, OVER = 256, 200, 3_000_000, 2048
+CHUNK, LONGEST, MOST_STATES, OVER = 256, 200, 1_500_000, 2048
 START, DEAD = 0, 1
 
 
