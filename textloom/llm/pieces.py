@@ -12,13 +12,16 @@ import json
 import os
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 from textloom.llm import words as W
+from textloom.llm.tables import Table
 
-MOST_PIECES, MOST_IDS = 800_000, 8_000_000
+#: Pieces and ids that a worker keeps before it begins anew; pieces that it learns at once.
+MOST_PIECES, MOST_IDS, LEARN = 800_000, 8_000_000, 200_000
 _LOADED: dict[str, PieceEncoder] = {}
 
 
@@ -53,7 +56,7 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot = Table()
         self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
 
@@ -93,18 +96,17 @@ class PieceEncoder:
         return got
 
     def _learn(self, pieces: list[tuple[int, bytes]]) -> None:
-        if len(self.slot) + len(pieces) > MOST_PIECES or self.used > MOST_IDS:
-            self.clear()
         got = self._ids_of(pieces)
-        for h, ids in got:
-            i = len(self.slot)
-            if i >= len(self.begin):
-                self.begin, self.size = np.resize(self.begin, 2 * i), np.resize(self.size, 2 * i)
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.resize(self.pool, 2 * len(self.pool))
-            self.slot[h], self.begin[i], self.size[i] = i, self.used, len(ids)
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+        n, size = self.slot.used, np.array([len(ids) for _, ids in got], np.int64)
+        flat = np.fromiter(chain.from_iterable(ids for _, ids in got), np.uint32, int(size.sum()))
+        while n + len(got) > len(self.begin):
+            self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * len(self.pool))
+        self.begin[n : n + len(got)], self.size[n : n + len(got)] = self.used + np.cumsum(size) - size, size
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.slot.put(np.array([h for h, _ in got], np.uint64), np.arange(n, n + len(got), dtype=np.int32))
 
     def _odd(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Rows that go to the library whole."""
@@ -152,19 +154,19 @@ class PieceEncoder:
         if odd.any():
             keep = ~odd[row]
             starts, ends, row = starts[keep], ends[keep], row[keep]
-        h = W.hashes(text, starts, ends)
-        unique, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        slots = [self.slot.get(k, -1) for k in keys]
-        missing = [i for i, x in enumerate(slots) if x < 0]
-        if missing:
-            size = len(self.slot)
-            self._learn([(keys[i], text[starts[where[i]] : ends[where[i]]].tobytes()) for i in missing])
-            if len(self.slot) != size + len(missing):  # it began anew
-                rest = [i for i, k in enumerate(keys) if k not in self.slot]
-                self._learn_more(rest, keys, text, starts, ends, where)
-            slots = [self.slot[k] for k in keys]
-        slot = np.array(slots, np.int64)[inverse] if len(keys) else np.zeros(0, np.int64)
+        h = np.maximum(W.hashes(text, starts, ends), np.uint64(1))
+        keys, where, inverse = np.unique(h, return_index=True, return_inverse=True)
+        cut = lambda of: [(k, text[starts[i] : ends[i]].tobytes()) for k, i in zip(keys[of].tolist(), where[of].tolist(), strict=True)]
+        slots = self.slot.get(keys)
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            if self.slot.used + len(missing) > MOST_PIECES or self.used > MOST_IDS:
+                self.clear()
+                missing = np.arange(len(keys))
+            for at in range(0, len(missing), LEARN):
+                self._learn(cut(missing[at : at + LEARN]))
+            slots = self.slot.get(keys)
+        slot = slots[inverse]
         size = self.size[slot].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(self.begin[slot] - total[:-1], size) + np.arange(total[-1])]
@@ -174,10 +176,6 @@ class PieceEncoder:
         parts = [np.array(self._whole_row(data[offsets[i] : offsets[i + 1]].tobytes()), np.uint32) if odd[i] else ids[at[i] : at[i + 1]] for i in range(n)]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
-    def _learn_more(self, rest, keys, text, starts, ends, where) -> None:
-        for at in range(0, len(rest), MOST_PIECES // 2):
-            self._learn([(keys[i], text[starts[where[i]] : ends[where[i]]].tobytes()) for i in rest[at : at + MOST_PIECES // 2]])
-
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         """(row, ids) of each text in order; a null is empty."""
         for a, b, data, offsets in W.slices(column):
