@@ -7,7 +7,8 @@ blocks outright, and where the page marks its article (article or main), only bl
 
 Pass one, without context: link density rejects; long blocks with a fair share of stop words are good, long ones
 without them are bad; short ones stay open. Pass two: a short block takes the label of its decided neighbours (the nearer one
-where they differ), a middling one is good beside a good one, and a heading belongs to what follows it. Inside a marked article everything that is not rejected by pass one is good.
+where they differ), a middling one is good beside a good one, and a heading belongs to what follows it. Where no block is long enough to be
+good, middling ones with a high share of stop words are. Inside a marked article everything that is not rejected by pass one is good.
 
 Nulls and empty pages give an empty text. Markup that is never closed ends with its parent: an open ``p`` or ``b`` ends
 at the next block tag. One page is parsed in memory, in time linear in its length.
@@ -161,7 +162,8 @@ def classify(found: list[Block], marked: bool) -> list[Block]:
     """Pass one and two; returns the good blocks."""
     if marked:
         found = [b for b in found if b.scoped]
-    for b in found:
+    dense = set()
+    for i, b in enumerate(found):
         n = len(b.text)
         density = b.links / n
         if density > MOST_LINKS and not (marked and b.heading):
@@ -175,11 +177,16 @@ def classify(found: list[Block], marked: bool) -> list[Block]:
             b.label = "short"
         elif stop >= STOP_HIGH:
             b.label = "good" if n >= LONG_CHARS else "near"
+            dense.add(i)
         elif stop >= STOP_LOW:
             b.label = "near"
         else:
             b.label = "bad"
     labels = [b.label for b in found]
+    if "good" not in labels:  # a page of middling blocks only: those with many stop words decide
+        labels = ["good" if i in dense else x for i, x in enumerate(labels)]
+        for b, x in zip(found, labels, strict=True):
+            b.label = x
     n = len(found)
     left, right = [(n + 1, "bad")] * n, [(n + 1, "bad")] * n
     for order, side, step in ((range(n), left, -1), (range(n - 1, -1, -1), right, 1)):
