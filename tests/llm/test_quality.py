@@ -146,3 +146,38 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], ROWS)
     assert Q.quality(empty).collect() == []
     assert Q.keep_good(empty).collect() == []
+
+
+def test_runs_match_plain_python():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("abcdefghij", k=n)) for n in (0, 1, 4, 5, 6, 9, 40)] + [None, "a " * 30]
+    for span in (1, 5, 40, 100):
+        for text in texts:
+            ws = (text or "").split()
+            before = np.array([max((j for j in range(i) if ws[j] == ws[i]), default=-1) for i in range(len(ws))], int)
+            got = Q.run_distinct(before, np.array([0, len(ws)]), span).sum()
+            assert got == sum(len(set(ws[i : i + span])) for i in range(max(len(ws) - span, 0) + 1))
+    long = [" ".join(rng.choices("abcdefghij", k=n)) + " z" for n in (700, 3, 2000)]
+    assert Q.count(pa.array(long))[Q.RUNS].tolist() == [sum(len(set(ws[i : i + Q.SPAN])) for i in range(max(len(ws) - Q.SPAN, 0) + 1)) for ws in map(str.split, long)]
+
+
+def prose(rng, n):
+    """Words of a skewed vocabulary, 5,000 words in all."""
+    ws = [f"w{int(5000 ** rng.random()):x}" for _ in range(n)]
+    return "\n".join(" ".join(ws[j : j + 20]) + "." for j in range(0, n, 20))
+
+
+def test_clean_texts_of_any_length_are_kept(spark):
+    """Ordinary lengths with a few very long texts, and a source of long texts with a few short ones."""
+    rng = random.Random(6)
+    usual = [(i, prose(rng, int(math.exp(rng.gauss(5.5, 0.7))) + 25), "en", "web", None, None, None) for i in range(600)]
+    long = [(1000 + n, prose(rng, n), "en", "web", None, None, None) for n in (10_000, 20_000, 50_000, 100_000)]
+    books = [(2_000_000 + i, prose(rng, int(math.exp(rng.gauss(7.5, 0.4)))), "en", "book", None, None, None) for i in range(250)]
+    short = [(3_000_000 + n, prose(rng, n), "en", "book", None, None, None) for n in (80, 160, 30_000)]
+    junk = [(4_000_000 + n, prose(rng, n).replace(" ", "%%% "), "en", "web", None, None, None) for n in (300, 20_000)]
+    junk += [(5_000_000, " ".join(rng.choices("abcdefghijklmnopqrst", k=20_000)), "en", "web", None, None, None)]
+    got = {r.doc_id: r for r in Q.quality(spark.createDataFrame(usual + long + books + short + junk, ROWS)).collect()}
+    assert [(i, r.distance2) for i, r in got.items() if i < 4_000_000 and not r.kept] == []
+    assert not any(got[r[0]].kept for r in junk)

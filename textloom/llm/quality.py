@@ -3,12 +3,14 @@
 ``text_stats`` reads every whole text once and gives integer counts. ``robust_verdict`` works on that narrow table only:
 
 1. each document gets a vector of transformed statistics, rounded to integers (``GRID`` steps a unit), so that every sum
-   below is exact and does not depend on the order of rows or on partitions;
-2. per (lang, source) a deterministic start, medians and quartile ranges, then ``STEPS`` concentration steps: the
+   below is exact and does not depend on the order of rows or on partitions. Length is among them and variety falls with
+   it, so there is a second vector, where a text of more than ``SPAN`` words counts as one of ``SPAN`` words with the mean
+   variety of all its runs of so many;
+2. for both vectors, per (lang, source) a deterministic start, medians and quartile ranges, then ``STEPS`` concentration steps: the
    ``COVER`` share of rows with the smallest distances gives the next mean and covariance (one grouped aggregation of
    integer moments each, partial sums before the shuffle, so a hot source costs no more than its rows);
 3. the covariance is scaled so that the median distance is that of a chi-square, and rows whose squared Mahalanobis
-   distance exceeds ``CUTOFF`` are rejected.
+   distance exceeds ``CUTOFF`` by both fits are rejected: ``distance2`` is the lesser one, so great length alone rejects none.
 
 Groups with fewer than ``MIN_ROWS`` rows take the fit of their language, and languages with fewer the fit of all rows.
 Variances have a floor: a statistic that is constant in a group does not make every other value an outlier.
@@ -36,12 +38,18 @@ CUTOFF, MEDIAN = 72.0, 5.348
 FLOOR = (0.5, 0.2, 0.05, 0.05, 0.05, 0.05)
 #: A text of n words has noisy shares: its squared distance counts n / (n + NOISE).
 NOISE = 40
+#: Words of a run; in the second vector longer texts count as so long.
+SPAN = 512
 NAMES = ("v_words", "v_variety", "v_length", "v_symbols", "v_upper", "v_marks")
+#: The same with the length and the variety of the average run.
+RUN_NAMES = ("r_words", "r_variety", *NAMES[2:])
 #: A fit is sent to all executors up to so many groups; beyond that it is joined by a shuffle.
 SEND_GROUPS = 20_000
 P = len(NAMES)
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_upper", "n_marks")
+#: Distinct words summed over all runs of SPAN words; n_distinct of a text that is no longer.
+RUNS = "n_run_distinct"
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 UPPER = np.zeros(256, bool)
@@ -75,6 +83,18 @@ def repeated(h: np.ndarray, doc: np.ndarray, first: np.ndarray, window: int = WI
     return np.cumsum(delta[:n]) > 0
 
 
+def run_distinct(before: np.ndarray, first: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """For each word, the runs of so many words (one run, the whole row, where it has fewer) that hold no equal word earlier in them.
+
+    ``before`` has the index of the last equal word of the row, -1 where there is none.
+    """
+    n = np.diff(first)
+    begin, size = np.repeat(first[:-1], n), np.repeat(n, n)
+    at = np.arange(len(before)) - begin
+    last, width = np.where(before < 0, -1, before - begin), np.minimum(size, span)
+    return np.maximum(np.minimum(at, size - width) - np.maximum(last + 1, at - width + 1) + 1, 0)
+
+
 def dup_lines(text: str) -> int:
     """Lines with a word that equal an earlier line."""
     lines = [x for x in text.split("\n") if x.strip(" \t\r\x0b\x0c")]
@@ -82,7 +102,7 @@ def dup_lines(text: str) -> int:
 
 
 def count(column: pa.Array) -> dict[str, np.ndarray]:
-    """The counts of each text of a column."""
+    """COUNTS and RUNS of each text of a column."""
     parts: list[list[np.ndarray]] = []
     for a, b, data, offsets in W.slices(column):
         starts, ends, first = W.spans(data, offsets)
@@ -90,38 +110,44 @@ def count(column: pa.Array) -> dict[str, np.ndarray]:
         doc = W.doc_of(first)
         row = np.repeat(np.arange(b - a), np.diff(offsets))
         chars = np.bincount(row, ((data & 0xC0) != 0x80) & ~W.SPACE[data], b - a)
-        pair = np.unique(W.mix(h ^ (doc.astype(np.uint64) * W.M1)), return_index=True)[1]
+        pair = W.mix(h ^ (doc.astype(np.uint64) * W.M1))
+        order = np.argsort(pair, kind="stable")
+        same = pair[order[1:]] == pair[order[:-1]]
+        before = np.full(len(h), -1)
+        before[order[1:][same]] = order[:-1][same]
         text = data.tobytes()
         lines = [dup_lines(text[offsets[i] : offsets[i + 1]].decode()) for i in range(b - a)]
         parts.append([
             np.diff(first), chars, np.bincount(row, SYMBOL[data], b - a), np.array(lines), W.per_row(repeated(h, doc, first), first),
-            np.bincount(doc[pair], minlength=b - a), np.bincount(row, UPPER[data], b - a), np.bincount(row, MARK[data], b - a),
+            W.per_row(before < 0, first), np.bincount(row, UPPER[data], b - a), np.bincount(row, MARK[data], b - a), W.per_row(run_distinct(before, first), first),
         ])
-    return {k: np.concatenate(x).astype(np.int64) if parts else np.zeros(0, np.int64) for k, x in zip(COUNTS, list(zip(*parts, strict=True)) or [()] * len(COUNTS), strict=True)}
+    return {k: np.concatenate(x).astype(np.int64) if parts else np.zeros(0, np.int64) for k, x in zip((*COUNTS, RUNS), list(zip(*parts, strict=True)) or [()] * (len(COUNTS) + 1), strict=True)}
 
 
 def text_stats(docs: DataFrame, keys: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
-    """keys and COUNTS of each row of docs; other columns are not read."""
+    """keys, COUNTS and RUNS of each row of docs; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array(x) for x in count(batch.column("text")).values())], names=[*keys, *COUNTS])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array(x) for x in count(batch.column("text")).values())], names=[*keys, *COUNTS, RUNS])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*keys, "text").mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"{k} long" for k in COUNTS)]))
+    return docs.select(*keys, "text").mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"{k} long" for k in (*COUNTS, RUNS))]))
 
 
 def vectors(stats: DataFrame) -> DataFrame:
     """Adds the transformed statistics as integers."""
     n, c = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
+    span = F.least(n, F.lit(SPAN))
     share = lambda k: F.sqrt(F.col(k) / c)
     forms = (F.log(n), F.log(F.greatest(F.col("n_distinct"), F.lit(1)) / n), F.log(c / n), share("n_symbols"), share("n_upper"), share("n_marks"))
-    return stats.withColumns({k: F.round(f * GRID).cast("long") for k, f in zip(NAMES, forms, strict=True)})
+    runs = (F.log(span), F.log(F.greatest(F.col(RUNS), F.lit(1)) / (n - span + 1) / span))
+    return stats.withColumns({k: F.round(f * GRID).cast("long") for k, f in zip((*NAMES, *RUN_NAMES[:2]), (*forms, *runs), strict=True)})
 
 
-def _distance(mean: str = "mean", inverse: str = "inverse") -> F.Column:
+def _distance(names: tuple[str, ...] = NAMES, mean: str = "mean", inverse: str = "inverse") -> F.Column:
     """Squared Mahalanobis distance of the row's vector, from the fit's arrays in the same row."""
-    d = [F.col(k) / F.lit(float(GRID)) - F.col(mean)[i] for i, k in enumerate(NAMES)]
+    d = [F.col(k) / F.lit(float(GRID)) - F.col(mean)[i] for i, k in enumerate(names)]
     total = F.lit(0.0)
     for i in range(P):
         for j in range(i, P):
@@ -177,8 +203,20 @@ def _up_to(binned: DataFrame, share: float) -> DataFrame:
     return out.filter(F.col("_c") - F.col("n") < share * F.col("_t")).drop("_c", "_t")
 
 
+def _robust_fit(fitting: DataFrame, groups: int) -> DataFrame:
+    """grp, mean, inverse and scale from rows of grp and NAMES."""
+    fit = written(_first_fit(fitting), "quality-fit")
+    for _ in range(STEPS):
+        binned = _with_fit(fitting, fit, groups).groupBy("grp", _on_grid(_distance()).alias("d")).agg(*_moments())
+        kept = _up_to(binned, COVER).groupBy("grp").agg(*(F.sum(k).alias(k) for k in binned.columns[2:]))
+        fit = written(kept.mapInArrow(_fitted, FIT), "quality-fit")
+    binned = _with_fit(fitting, fit, groups).groupBy("grp", _on_grid(_distance()).alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    scale = _up_to(binned, 0.5).groupBy("grp").agg(F.greatest(F.exp(F.max("d") / STEP_E) / MEDIAN, F.lit(0.2)).alias("scale"))
+    return written(fit.join(scale, "grp"), "quality-fit")
+
+
 def robust_verdict(stats: DataFrame, cutoff: float = CUTOFF, min_rows: int = MIN_ROWS) -> DataFrame:
-    """Adds ``distance2`` and ``outlier`` to a table of text_stats (best already written: it is read STEPS + 3 times)."""
+    """Adds ``distance2`` and ``outlier`` to a table of text_stats (best already written: it is read 2 * STEPS + 5 times)."""
     lang, source = F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00"))
     sizes = stats.groupBy(lang.alias("l"), source.alias("s")).agg(F.count(F.lit(1)).alias("n"))
     by_lang, total = sizes.groupBy("l").agg(F.sum("n").alias("nl")), None
@@ -193,16 +231,12 @@ def robust_verdict(stats: DataFrame, cutoff: float = CUTOFF, min_rows: int = MIN
     own = all_rows.join(F.broadcast(sizes) if groups <= SEND_GROUPS else sizes, ["l", "s"])
     fitting = own.select("*", F.explode(F.array_distinct(F.array("grp", F.concat_ws("\x01", F.lit("l"), "l"), F.lit("all")))).alias("g"))
     fitting = fitting.join(F.broadcast(wide) if groups <= SEND_GROUPS else wide, "g", "left_semi").unionByName(own.withColumn("g", F.col("grp")).filter(F.startswith("grp", F.lit("s"))).select(*fitting.columns))
-    fitting = fitting.drop("grp").withColumnRenamed("g", "grp").select("grp", *NAMES)
-    fit = written(_first_fit(fitting), "quality-fit")
-    for _ in range(STEPS):
-        binned = _with_fit(fitting, fit, groups).groupBy("grp", _on_grid(_distance()).alias("d")).agg(*_moments())
-        kept = _up_to(binned, COVER).groupBy("grp").agg(*(F.sum(k).alias(k) for k in binned.columns[2:]))
-        fit = written(kept.mapInArrow(_fitted, FIT), "quality-fit")
-    binned = _with_fit(fitting, fit, groups).groupBy("grp", _on_grid(_distance()).alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    scale = _up_to(binned, 0.5).groupBy("grp").agg(F.greatest(F.exp(F.max("d") / STEP_E) / MEDIAN, F.lit(0.2)).alias("scale"))
-    fit = written(fit.join(scale, "grp"), "quality-fit")
-    out = _with_fit(own, fit, groups).withColumn("distance2", _distance() / F.col("scale") * F.col("n_words") / (F.col("n_words") + NOISE))
+    fitting = fitting.drop("grp").withColumnRenamed("g", "grp")
+    out = own
+    for d, names in (("_whole", NAMES), ("_run", RUN_NAMES)):
+        fit = _robust_fit(fitting.select("grp", *(F.col(k).alias(v) for k, v in zip(names, NAMES, strict=True))), groups)
+        out = _with_fit(out, fit, groups).withColumn(d, _distance(names) / F.col("scale") * F.col("n_words") / (F.col("n_words") + NOISE)).drop("mean", "inverse", "scale")
+    out = out.withColumn("distance2", F.least("_whole", "_run"))
     return out.select(*stats.columns, "distance2", (F.col("distance2") > cutoff).alias("outlier"))
 
 
