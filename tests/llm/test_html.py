@@ -70,3 +70,16 @@ def test_rows(spark):
     got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted(map(str, got)) == sorted(["Row(page_id=1, url='u', text='', n_chars=0)", "Row(page_id=1, url=None, text='a', n_chars=1)", "Row(page_id=None, url='u', text='a', n_chars=1)"])
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+@pytest.mark.parametrize("wrapper", ["class='content has-sidebar'", "class=no-sidebar", "class='with-nav'", "id=nav-content", "class=widget", "id=sidebar", "class='page-footer banner'"])
+def test_names_do_not_drop_the_article(wrapper):
+    aside = "<div class=related><article>card</article></div><div id=site-footer>foot</div><div class='sidebar-left'>side</div>"
+    assert H.main_text(f"<div {wrapper}><article><p>{PARA}</p></article></div>{aside}") == PARA
+    assert H.main_text(f"<div {wrapper}><div class=ad>buy</div><main><p>{PARA}</p></main></div>{aside}") == PARA
+    assert H.main_text(f"<div {wrapper}><p>{PARA}</p><p>{PARA}</p></div>{aside}") == f"{PARA} {PARA}"
+
+
+def test_comments_and_cards_stay_out():
+    assert H.main_text(f"<p>{PARA}</p><div class=related><article>card</article></div>") == PARA
+    assert H.main_text(f"<article><p>{PARA}</p><div id=comments><p>{PARA}</p><p>{PARA}</p></div></article>") == PARA

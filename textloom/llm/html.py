@@ -3,7 +3,9 @@
 The page is split once into blocks: runs of text between block-level tags, with counts of words, of characters inside
 links, and the kinds of container around them. Containers that never hold the article (head, script, style, nav,
 header, footer, aside, form and the like, or class and id names of menus, adverts, notices and comments) drop their
-blocks outright, and where the page marks its article (article or main), only blocks in there stand.
+blocks outright, and where the page marks its article (article or main), only blocks in there stand. A class or id counts
+if all its hyphenated words are such names or say nothing (site-footer, but not has-sidebar). A name never drops a container
+that holds the only main, or more text outside links than all that is left (reader comments excepted).
 
 Pass one, without context: link density rejects; long blocks with a fair share of stop words are good, long ones
 without them are bad; short ones stay open. Pass two: a short block takes the label of its decided neighbours (the nearer one
@@ -16,6 +18,7 @@ at the next block tag. One page is parsed in memory, in time linear in its lengt
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 from collections.abc import Iterator
@@ -40,12 +43,14 @@ SCOPE = frozenset("article main".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 ITEM = HEADING | frozenset("li dt dd td th option".split())
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|menu|nav\w*|navbar|breadcrumbs?|masthead|footer|sidebar|side-bar|aside|widget|related|share|sharing|social|cookies?|consent|notice|alert|popup|modal|"
-    r"newsletter|subscribe|signup|login|comments?|respond|reply|disqus|pagination|pager|tags|toolbar|skip|disclaimer|copyright)(?:$|[\s_-])",
+    r"ads?|advert\w*|banner|sponsor\w*|promo\w*|menu|nav\w*|navbar|breadcrumbs?|masthead|footer|sidebar|side-bar|aside|widget|related|share|sharing|social|cookies?|consent|notice|alert|popup|modal|"
+    r"newsletter|subscribe|signup|login|comments?|respond|reply|disqus|pagination|pager|tags|toolbar|skip|disclaimer|copyright",
     re.I,
 )
+#: Words that say nothing beside a name.
+PLAIN = re.compile(r"site|page|global|main|primary|secondary|top|bottom|left|right|upper|lower|box|bar|block|list|links?|items?|section|area|container|slot|unit|form|body|text|message|buttons?|post|posts|media|side|to|the|\d*", re.I)
 #: Headers of the page go, those of the article stay; an article whose names say comment is a reader's.
-HEADER, COMMENT = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I), re.compile(r"(?:^|[\s_-])(?:comments?|respond|reply)(?:$|[\s_-])", re.I)
+HEADER, COMMENT = re.compile(r"header", re.I), re.compile(r"comments?|respond|reply|disqus", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$|=)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -66,32 +71,82 @@ class Block:
     scoped: bool
     heading: bool
     label: str = ""
+    named: int = -1  # the innermost container around it that its name would drop
 
 
-def _unwanted(tag: str, attributes: str, scoped: bool) -> bool:
+def _names(value: str, name: re.Pattern[str]) -> bool:
+    """Whether one of the class or id tokens says the name and nothing else of weight."""
+    for token in value.split():
+        words = re.split("[_-]+", token)
+        if name.fullmatch(token) or any(map(name.fullmatch, words)) and all(name.fullmatch(w) or PLAIN.fullmatch(w) for w in words):
+            return True
+    return False
+
+
+def _unwanted(tag: str, attributes: str, scoped: bool) -> str:
+    """Why a container is unwanted: "kind" for good, "name" or "comment" by its names only; empty where it is not."""
     if tag in DROP and not (tag == "header" and scoped):
-        return True
+        return "kind"
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return ""
     if HIDDEN.search(attributes):
-        return True
+        return "kind"
+    why = ""
     for k, a, b, c in ATTRIBUTE.findall(attributes):
         k, v = k.lower(), a or b or c
         if k in ("class", "id"):
-            if COMMENT.search(v) if tag == "article" else NAMES.search(v) or not scoped and HEADER.search(v):
-                return True
+            if _names(v, COMMENT):
+                why = "comment"
+            elif not why and tag != "article" and (_names(v, NAMES) or not scoped and _names(v, HEADER)):
+                why = "name"
         elif k == "role" and v.lower() in ROLES:
-            return True
-    return False
+            return "kind"
+    return why
+
+
+def _spared(found: list[Block], named: list[tuple[int, str]], scopes: list[tuple[str, int]]) -> set[int]:
+    """The containers that their names do not drop: those around the only main, and those that hold most of the text."""
+    spared = {-1}
+    marked = any(at < 0 for _, at in scopes)
+    if not marked:
+        for tag, at in scopes:
+            while tag == "main" and at not in spared:
+                spared.add(at)
+                at = named[at][0]
+    own, children = [0] * (len(named) + 1), [[] for _ in range(len(named) + 1)]  # the last entry is the page
+    for b in found:
+        if b.scoped or not marked:
+            own[b.named] += max(len(b.text) - b.links, 0)
+    inside = own[:]
+    for i in range(len(named) - 1, -1, -1):
+        inside[named[i][0]] += inside[i]
+        children[named[i][0]].append(i)
+    left, heap = own[-1], []
+    open_ = [-1]
+    while open_:
+        for i in children[open_.pop()]:
+            if i in spared:
+                left += own[i]
+                open_.append(i)
+            elif named[i][1] != "comment":
+                heapq.heappush(heap, (-inside[i], i))
+        if not open_ and heap and -heap[0][0] > left:
+            i = heapq.heappop(heap)[1]
+            spared.add(i)
+            left += own[i]
+            open_.append(i)
+    return spared
 
 
 def blocks(page: str) -> tuple[list[Block], bool]:
     """The blocks of a page outside unwanted containers, and whether it marks its article."""
     out: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: tag, unwanted inside, in an article
+    stack: list[tuple[str, bool, bool, int]] = []  # open elements: tag, unwanted inside, in an article, innermost of named
+    named: list[tuple[int, str]] = []  # containers unwanted by name: the one around it, why
+    scopes: list[tuple[str, int]] = []  # article and main elements: tag, innermost of named
     links = linked = 0
-    heading = marked = False
+    heading = False
     at = 0
 
     def unwanted() -> bool:
@@ -112,7 +167,7 @@ def blocks(page: str) -> tuple[list[Block], bool]:
         if parts:
             text = WHITE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(text, linked, scoped(), heading))
+                out.append(Block(text, linked, scoped(), heading, named=stack[-1][3] if stack else -1))
             parts.clear()
         linked = 0
 
@@ -147,15 +202,21 @@ def blocks(page: str) -> tuple[list[Block], bool]:
                         break
             if tag == "a":
                 links += 1
-            bad, inside = unwanted() or _unwanted(tag, m[4], scoped()), scoped() or tag in SCOPE
-            marked |= tag in SCOPE and not bad
-            if block or bad:
-                stack.append((tag, bad, inside))
+            why = "kind" if unwanted() else _unwanted(tag, m[4], scoped())
+            bad, inside, within = why == "kind", scoped() or tag in SCOPE, stack[-1][3] if stack else -1
+            if why and not bad:
+                named.append((within, why))
+                within = len(named) - 1
+            if tag in SCOPE and not bad:
+                scopes.append((tag, within))
+            if block or why:
+                stack.append((tag, bad, inside, within))
             if tag in HEADING:
                 heading = True
     take(page[at:])
     end()
-    return out, marked
+    spared = _spared(out, named, scopes) if named else {-1}
+    return [b for b in out if b.named in spared], any(at in spared for _, at in scopes)
 
 
 def classify(found: list[Block], marked: bool) -> list[Block]:
