@@ -83,3 +83,18 @@ def test_names_do_not_drop_the_article(wrapper):
 def test_comments_and_cards_stay_out():
     assert H.main_text(f"<p>{PARA}</p><div class=related><article>card</article></div>") == PARA
     assert H.main_text(f"<article><p>{PARA}</p><div id=comments><p>{PARA}</p><p>{PARA}</p></div></article>") == PARA
+
+
+@pytest.mark.parametrize(
+    "para",
+    [
+        "Верховна Рада ухвалила закон про державний бюджет на наступний рік, повідомляє кореспондент агентства. За рішення проголосували двісті сорок депутатів, решта утрималися або не брали участі в голосуванні, додав спікер.",
+        "Государственная дума приняла закон о бюджете на следующий год, сообщает корреспондент агентства. За решение проголосовали двести сорок депутатов, остальные воздержались или не участвовали в голосовании, добавил спикер.",
+        "全国人民代表大会常务委员会今天在北京举行会议，审议了关于明年预算的报告。会议指出，今年以来经济运行总体平稳，居民收入持续增长，就业形势保持稳定，各项社会事业取得新的进展，人民生活水平不断提高，为明年的发展打下了坚实的基础。",
+    ],
+)
+def test_other_languages_keep_their_paragraphs(para):
+    links = "".join(f"<li><a href={i}>{para[:75]}</a></li>" for i in range(3))
+    page = f"<ul>{links}</ul><h1>{para[:20]}</h1><p>{para}</p><p>{para[:100]}</p><p>{para}</p><ul>{links}</ul><p>©</p>"
+    assert H.main_text(page) == f"{para[:20].strip()} {para} {para[:100].strip()} {para}"
+    assert H.main_text(f"<h1>Heading</h1><p>{para[:100]}</p>") == f"Heading {para[:100].strip()}"

@@ -10,7 +10,8 @@ that holds the only main, or more text outside links than all that is left (read
 Pass one, without context: link density rejects; long blocks with a fair share of stop words are good, long ones
 without them are bad; short ones stay open. Pass two: a short block takes the label of its decided neighbours (the nearer one
 where they differ), a middling one is good beside a good one, and a heading belongs to what follows it. Where no block is long enough to be
-good, middling ones with a high share of stop words are. Inside a marked article everything that is not rejected by pass one is good.
+good, middling ones with a high share of stop words are. Where the long blocks of a page together have too few stop words,
+the list does not know the language (or it writes no spaces), and length and link density alone decide. Inside a marked article everything that is not rejected by pass one is good.
 
 Nulls and empty pages give an empty text. Markup that is never closed ends with its parent: an open ``p`` or ``b`` ends
 at the next block tag. One page is parsed in memory, in time linear in its length.
@@ -61,6 +62,8 @@ STOP = frozenset(
     "el los las y en del por para con una no su al lo como más o pero sus es si".split()
 )
 WHITE = re.compile(r"\s+")
+#: Letters that stand for a syllable or a word count twice towards a block's length.
+WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]")
 LONG_CHARS, SHORT_CHARS, STOP_LOW, STOP_HIGH, MOST_LINKS = 200, 70, 0.05, 0.12, 0.5
 
 
@@ -219,11 +222,17 @@ def blocks(page: str) -> tuple[list[Block], bool]:
     return [b for b in out if b.named in spared], any(at in spared for _, at in scopes)
 
 
+def _stops(words: list[str]) -> int:
+    return sum(w.strip(".,;:!?") in STOP for w in words)
+
+
 def classify(found: list[Block], marked: bool) -> list[Block]:
     """Pass one and two; returns the good blocks."""
     if marked:
         found = [b for b in found if b.scoped]
     dense = set()
+    texts = [b.text.lower().split() for b in found if not b.heading and len(b.text) >= SHORT_CHARS and b.links / len(b.text) <= MOST_LINKS]
+    known = sum(_stops(words) for words in texts) >= STOP_LOW * sum(map(len, texts))
     for i, b in enumerate(found):
         n = len(b.text)
         density = b.links / n
@@ -231,12 +240,14 @@ def classify(found: list[Block], marked: bool) -> list[Block]:
             b.label = "bad"
             continue
         words = b.text.lower().split()
-        stop = sum(w.strip(".,;:!?") in STOP for w in words) / len(words)
+        stop = _stops(words) / len(words)
+        if not known:
+            n += len(WIDE.findall(b.text))
         if marked:
             b.label = "good"
         elif n < SHORT_CHARS or b.heading:
             b.label = "short"
-        elif stop >= STOP_HIGH:
+        elif not known or stop >= STOP_HIGH:
             b.label = "good" if n >= LONG_CHARS else "near"
             dense.add(i)
         elif stop >= STOP_LOW:
@@ -261,7 +272,8 @@ def classify(found: list[Block], marked: bool) -> list[Block]:
         elif labels[i] == "near":
             b.label = "good" if "good" in (left[i][1], right[i][1]) else "bad"
     if not any(b.label == "good" for b in found):
-        return [b for b, was in zip(found, labels, strict=True) if was != "bad"]  # nothing stands out: keep what pass one left
+        # nothing stands out: keep what pass one left, and long blocks that are no links
+        return [b for b, was in zip(found, labels, strict=True) if was != "bad" or len(b.text) >= SHORT_CHARS and b.links / len(b.text) <= MOST_LINKS]
     return [b for b in found if b.label == "good"]
 
 
