@@ -31,6 +31,20 @@ def test_numbers_and_required_rows(spark):
         ordering.first_n(df, 0, "o")
 
 
+def test_numbers_of_wide_rows_in_many_ranges(spark):
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = spark.range(30_000).select(((F.col("id") * 7919) % 30_000).alias("o"), F.repeat(F.lit("x"), 300).alias("_at"), F.col("id").cast("string").alias("t"))
+    try:
+        for n in ("8", "50"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            df = ordering.numbered(rows.repartition(40), "o")
+            assert df.columns == ["o", "_at", "t", "row_no"]
+            assert df.filter(F.col("row_no") != F.col("o") + 1).count() == 0 and df.select("row_no").distinct().count() == 30_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert ordering.numbered(rows.limit(0), "o").count() == 0
+
+
 def test_latest_first_is_stable(spark):
     rows = [("a", "2024-01-01", 0), ("b", None, 1), ("c", "2024-02-01", 2), ("d", "2024-01-01", 3), ("a", "2024-03-01", 4), ("e", None, 5)]
     df = spark.createDataFrame(rows, "loc string, lastmod string, ord long")

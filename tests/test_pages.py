@@ -77,6 +77,10 @@ def test_date_arguments():
         ('{"datePublished" : "2024-01-02T03:04:05Z"}', "", "", "2024-01-02T03:04:05Z"),
         ("<meta property='article:published_time' content='p'>", "", "", "p"),
         ('<META NAME="article:published_time" CONTENT="n">', "", "", "n"),
+        ("<meta content='c' data-x=1 property=article:published_time>", "", "", "c"),
+        ('<meta property="article:published_time"><meta property="og:x" content="o"><meta name="Article:published_time" content="n">', "", "", "n"),
+        ("", "– 8 May, 10:15", "https://e.org/2023/01/31/12/", "2023-05-08 10:15"),
+        ("", "8 May, 10:15 — by us", "https://e.org/2023/01/31/12/", "2023-01-31"),
         ("", "x — 7 March, 9:05 y", "https://e.org/2023/01/31/12/", "2023-03-07 9:05"),
         ("", "x — 7 Smarch, 9:05", "https://e.org/2023/01/31/12", "2023-01-31"),
         ("", "x — 7 March, 9:05", "https://e.org/2023/13/40/1", ""),

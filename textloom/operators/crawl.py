@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.tables import shared_dir
+
 
 def bfs(edges: DataFrame, seeds: Sequence[str], max_depth: int = 10, max_pages: int | None = None, failed: DataFrame | None = None) -> DataFrame:
     """(url, depth) of what the seeds reach over edges (src, dst), the seeds at depth 0.
@@ -17,9 +19,7 @@ def bfs(edges: DataFrame, seeds: Sequence[str], max_depth: int = 10, max_pages:
     """
     spark = edges.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     level = spark.createDataFrame([(u,) for u in dict.fromkeys(seeds)], "url string")
     seen = level.withColumn("depth", F.lit(0))
     links = edges if failed is None else edges.join(failed.select(F.col("url").alias("src")), "src", "left_anti")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.tables import written
+
 
 def first_occurrence(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row for each key: the first in order. Partial minima before the shuffle, so a frequent key is cheap."""
@@ -44,14 +46,23 @@ def latest_first(df: DataFrame, n: int, lastmod: str = "lastmod", url: str = "lo
     return one.select(url, F.nullif(F.col("f.m"), F.lit("")).alias(lastmod), (-F.col("f.o")).alias(ord_)).orderBy(F.coalesce(lastmod, F.lit("")).desc(), ord_).limit(n)
 
 
-def numbered(df: DataFrame, *order: str, name: str = "row_no") -> DataFrame:
-    """Adds dense numbers from 1 without bringing all rows to one task: counts of ranges first, then numbers within."""
-    # a stated number of partitions is never coalesced, so both uses see the same ones
-    ranged = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.join(F.broadcast(base), "_part").withColumn(name, (F.col("_base") + inner).cast("long")).drop("_part", "_base")
+def numbered(df: DataFrame, *order: str | Column, name: str = "row_no") -> DataFrame:
+    """Adds dense numbers from 1 without bringing all rows to one task: each row's place in its range, then the ranges' sizes.
+
+    The ranged rows are written once and read twice. Planned twice they would be ranged twice, by other samples, and the
+    sizes would not fit the ranges. Rows that tie in order are numbered as the writing task met them.
+    """
+    free = lambda n: n if n not in df.columns else free("_" + n)
+    at, base = free("_at"), free("_base")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the upper bits are the range, the lower 33 the place in it
+    ranged = written(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright(at, 33)
+    sizes = ranged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"))  # one row a range
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(F.col("p").alias("_p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base))
+    out = ranged.join(F.broadcast(bases), part == F.col("_p"))
+    return out.withColumn(name, (F.col(base) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")).drop(at, base, "_p")
 
 
 def required(df: DataFrame, start_row: int = 1, max_rows: int | None = None, row_no: str = "row_no", columns: Sequence[str] = ("url", "text")) -> DataFrame:

@@ -152,9 +152,20 @@ def start_row_limit(spark, d):
     return ordering.required(ordering.numbered(docs, "doc_id"), 50, 100).select("doc_id", "row_no")
 
 
-@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS row_no FROM documents")
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS row_no, sha256(text) AS h FROM documents")
 def row_numbers(spark, d):
-    return ordering.numbered(read(spark, d, "documents").select("doc_id"), "doc_id").select("doc_id", "row_no")
+    return ordering.numbered(read(spark, d, "documents"), "doc_id").select("doc_id", "row_no", F.sha2("text", 256).alias("h"))
+
+
+@query(
+    "WITH n AS (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id) AS row_no FROM events), s AS (SELECT max(row_no) * 9 // 10 AS start FROM n) "
+    "SELECT event_id, row_no, sha256(props) AS h FROM n, s WHERE row_no >= start AND event_type <> 'click'"
+)
+def start_row_late(spark, d):
+    rows = read(spark, d, "events")
+    start = rows.count() * 9 // 10
+    named = rows.withColumns({"url": F.when(F.col("event_type") != "click", F.col("event_type")), "text": F.col("props")})
+    return ordering.required(ordering.numbered(named, F.desc("ts"), "event_id"), start).select("event_id", "row_no", F.sha2("props", 256).alias("h"))
 
 
 @query(
@@ -227,7 +238,7 @@ def url_allow_pattern(spark, d):
     return _stored(spark, d).filter(urls.matches("url", r"https?://(?!m\.)[^/]+/en/\d+/?$|http://m\.[^/]+/en/\d+/?$")).select("page_id", "url")
 
 
-_H1 = r"trim(regexp_replace(replace(replace(regexp_replace(regexp_extract(html, '<h1\b[^>]*>(.*?)</h1>', 1, 'is'), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&amp;', '&'), '\s+', ' ', 'g'))"
+_H1 = r"trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<h1\b[^>]*>(.*?)</h1>', 1, 'is'), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '\s+', ' ', 'g'))"
 
 
 @query(f"SELECT page_id, {_H1} AS title FROM pages")
