@@ -53,3 +53,39 @@ class Table:
             done[put] = True
             todo = todo[~done[todo]]
             slot[todo] = (slot[todo] + 1) & mask
+
+
+class Trie:
+    """Byte strings as paths of states; ``values`` is what a string stands for, -1 where none ends."""
+
+    START, DEAD = 0, 1
+
+    def __init__(self) -> None:
+        self.moves = Table(self.DEAD)
+        self.states, self.values = 2, np.full(1 << 17, -1, np.int32)
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The next states; DEAD where there is no transition. The start has its own row for keys, and key 0 is empty."""
+        return self.moves.get(((state.astype(np.uint64) + np.uint64(1)) << np.uint64(8)) | byte)
+
+    def learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> None:
+        """Adds distinct strings, all of them byte by byte."""
+        size = ends - starts
+        state = np.zeros(len(starts), np.int64)
+        for i in range(int(size.max(initial=0))):
+            live = np.flatnonzero(size > i)
+            byte = data[starts[live] + i].astype(np.uint64)
+            to = self.step(state[live], byte)
+            new = np.flatnonzero(to == self.DEAD)
+            if len(new):
+                key, inverse = np.unique(((state[live[new]].astype(np.uint64) + np.uint64(1)) << np.uint64(8)) | byte[new], return_inverse=True)
+                if self.states + len(key) > len(self.values):
+                    more = np.full(2 * (self.states + len(key)), -1, np.int32)
+                    more[: len(self.values)] = self.values
+                    self.values = more
+                ids = np.arange(self.states, self.states + len(key), dtype=np.int32)
+                self.moves.put(key, ids)
+                self.states += len(key)
+                to[new] = ids[inverse]
+            state[live] = to
+        self.values[state] = values

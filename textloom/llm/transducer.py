@@ -1,23 +1,33 @@
-"""Token counts (operator 6) by a finite-state transducer compiled from a tokenizer.
-
-The automaton reads bytes. Its states are the prefixes of words it knows; the transition that leaves a word by white
-space emits the word's token count, and every other transition emits none. It is compiled lazily and deterministically:
-a word it does not know leads to a dead state, is counted by the tokenizers library once, and becomes a path of the
-automaton. White space returns to the start, and separates tokens in the tokenizer's own rules, so counts add up exactly.
-
-A slice of text is cut into equal chunks that all run in lock-step, one byte a step, as table look-ups over all chunks.
-Each chunk runs from the start state and yields its state map: the state it ends in, and whether that holds for every
-entry state (it does once the chunk has white space). A prefix scan composes the maps and so gives each chunk its true
-entry state; the heads, up to a chunk's first white space, are then run again from there. Words above ``LONGEST``
-bytes are not put into the automaton but counted by the library, and the dead state absorbs them.
-
-Texts to which the cut does not apply (strings of special tokens, combining marks) go to the library whole, as do all
-texts of a tokenizer of another kind. Null and empty texts have no tokens. Repeated rows are counted each. An empty
-table gives an empty result. The automaton is dropped at ``MOST_STATES`` states and compiled anew: memory is bounded.
+"""Token counts (operator 6) by a finite-state transducer compiled from a tokenizer's own rules.
+
+The machine reads the bytes of normalised text. A symbol is a byte, a byte that ends a pre-token, or a gap between
+pre-tokens. A state says which pieces of the vocabulary may still be under way: for each of their begins, the place in
+the vocabulary's trie, the token that ends there, and how many tokens more or less the text has there than here. The
+encoding of a text's beginning is its last token after the encoding of what stands before that token, and a token may
+follow another exactly if merging both side by side leaves them apart. So of the tokens that end at a symbol just one is
+admissible. The transition emits by how many tokens the encoding has grown (a number below zero where a merge took
+tokens back), and what a pre-token emits adds up to its tokens. Pieces have bounded length, so states are finitely many.
+They are compiled from merges and ranks when first met, and kept by the worker. The tokenizers library is not asked.
+
+A run of symbols is cut into chunks of ``CHUNK``, which advance in lock-step, one symbol of each a step. A chunk's state
+map is a partial function, known at the entries from which the chunk was run: first at a guess, the state that the ``WARM``
+symbols before it lead to. A prefix scan by doubling composes the maps. Where a composition is not defined, as a chunk
+entered in a state that it was not run from, it is run from there and the scan goes on. Counts are exact either way.
+
+The normaliser (composition, lower case by character) and the pre-tokenizer (contractions, runs of letters, single
+digits, runs of others) are applied to whole slices of code points. Strings of special tokens count as one token each
+and part the text. A tokenizer of another kind than the word-level byte BPE is counted by its library.
+
+Null and empty texts have no tokens. Repeated rows are counted each. An empty table gives an empty result. The machine
+is dropped at ``MOST_STATES`` states and compiled anew, so its memory is bounded; a text of any length is run in
+segments of ``SEGMENT`` symbols, each entered in the state that the one before it left.
 """
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,161 +36,380 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
 from textloom.llm import words as W
-from textloom.llm.pieces import PieceEncoder, encoder, public_path
-from textloom.llm.tables import Table
-
-CHUNK, LONGEST, MOST_STATES, OVER = 256, 200, 1_500_000, 2048
-START, DEAD = 0, 1
-
-
-class Transducer:
-    """Transitions in a hash table keyed by (state, byte); ``emits`` is the count on leaving a state by white space, -1 if none."""
-
-    def __init__(self, own: PieceEncoder | None = None):
-        self.own = own
+from textloom.llm.pieces import byte_chars, public_path
+
+CHUNK, WARM, SEGMENT, MOST_STATES, MOST_FITS, OVER = 512, 48, 1 << 20, 150_000, 1_000_000, 2048
+START, ROOT, NONE, END, GAP = 0, 0, -1, 256, 512
+LIFT = 128  # emitted counts are kept in a byte
+INF = 1 << 60
+
+OTHER, LETTER, DIGIT, SPACE = 0, 1, 2, 3
+WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+
+
+class Merges:
+    """A vocabulary of byte pairs: which tokens merging builds, and which may stand side by side."""
+
+    def __init__(self, model: dict):
+        suffix, vocab = model["end_of_word_suffix"] or "", model["vocab"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.merge = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        byte = {c: b for b, c in enumerate(byte_chars())}
+        self.symbols: dict[int, list[int]] = {}
+        for token, i in vocab.items():
+            ends = bool(suffix) and token.endswith(suffix) and len(token) > len(suffix)
+            of = [byte.get(c, NONE) for c in (token[: -len(suffix)] if ends else token)]
+            if NONE not in of:
+                self.symbols[i] = of[:-1] + [of[-1] + END * ends]
+        self.single = {of[0]: i for i, of in self.symbols.items() if len(of) == 1}
+        if not suffix:  # a pre-token's last byte is like any other
+            self.single |= {s + END: i for s, i in self.single.items()}
+        self.open = not suffix
+        self.history: dict[int, list[tuple[int, int, int]] | None] = {}
+        self.fit: dict[int, bool] = {}
+
+    def built(self, token: int) -> list[tuple[int, int, int]] | None:
+        """(rank, first part, last part) after each merge that builds a token; None if merging builds something else."""
+        if token not in self.history:
+            parts = [self.single[s] for s in self.symbols[token]]
+            out = [(INF, parts[0], parts[-1])]
+            while len(parts) > 1:
+                rank, i = min((self.merge[p][0], i) if (p := (a, b)) in self.merge else (INF, i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+                if rank == INF:
+                    break
+                parts[i : i + 2] = [self.merge[parts[i], parts[i + 1]][1]]
+                out.append((rank, parts[0], parts[-1]))
+            self.history[token] = out if parts == [token] else None
+        return self.history[token]
+
+    def fits(self, a: int, b: int) -> bool:
+        """Whether merging leaves a and b side by side: both are built lowest rank first, and no merge across comes before."""
+        left, right, i, j = self.built(a), self.built(b), 0, 0
+        while True:
+            across = self.merge.get((left[i][2], right[j][1]), (INF,))[0]
+            x = left[i + 1][0] if i + 1 < len(left) else INF
+            y = right[j + 1][0] if j + 1 < len(right) else INF
+            if across < x and across <= y or x == y == INF:
+                break
+            i, j = (i + 1, j) if x <= y else (i, j + 1)
+        if len(self.fit) > MOST_FITS:
+            self.fit.clear()
+        self.fit[a << 20 | b] = across == INF
+        return across == INF
+
+
+def begin(before: int) -> int:
+    """A piece that begins here, after a token. States are tuples of such: trie node, token before, lifted count before."""
+    return ROOT << 28 | before + 1 << 8 | LIFT
+
+
+class Machine:
+    """The transducer: a dense table of packed next states and counts, by state and symbol. 0 is a transition not yet compiled."""
+
+    def __init__(self, merges: Merges):
+        self.merges = merges
+        self.trie: dict[int, int] = {}  # (node, symbol) to node
+        self.token = [NONE]
+        self.inner = [True]  # nodes that go on
+        for i, of in sorted(merges.symbols.items()):
+            if len(of) > 1 and merges.built(i) is None:
+                continue
+            node = ROOT
+            for s in of:
+                to = self.trie.get(node << 10 | s)
+                if to is None:
+                    to = self.trie[node << 10 | s] = len(self.token)
+                    self.token.append(NONE)
+                    self.inner.append(False)
+                    self.inner[node] = True
+                node = to
+            self.token[node] = i
         self.compile()
 
-    def compile(self) -> None:
-        self.moves = Table(DEAD)
-        self.states, self.emits = 2, np.full(1 << 17, -1, np.int32)
-        self.emits[START] = 0
-
-    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        """The next states; DEAD where there is no transition. The start has its own row for keys, and key 0 is empty."""
-        return self.moves.get(((state.astype(np.uint64) + np.uint64(1)) << np.uint64(8)) | byte)
-
-    def _grow(self, more: int) -> None:
-        if self.states + more > len(self.emits):
-            more_emits = np.full(2 * (self.states + more), -1, np.int32)
-            more_emits[: len(self.emits)] = self.emits
-            self.emits = more_emits
-
-    def learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> None:
-        """Adds distinct words as paths, all of them byte by byte."""
-        size = ends - starts
-        state = np.zeros(len(starts), np.int64)
-        for i in range(int(size.max(initial=0))):
-            live = np.flatnonzero(size > i)
-            byte = data[starts[live] + i].astype(np.uint64)
-            to = self.step(state[live], byte)
-            new = np.flatnonzero(to == DEAD)
-            if len(new):
-                key, inverse = np.unique(((state[live[new]].astype(np.uint64) + np.uint64(1)) << np.uint64(8)) | byte[new], return_inverse=True)
-                self._grow(len(key))
-                ids = np.arange(self.states, self.states + len(key), dtype=np.int32)
-                self.moves.put(key, ids)
-                self.states += len(key)
-                to[new] = ids[inverse]
-            state[live] = to
-        self.emits[state] = counts
-
-    def run(self, data: np.ndarray, space: np.ndarray) -> np.ndarray:
-        """The emitted counts by byte, for text that ends in white space; -1 where an unknown word ends."""
-        n = -(-len(data) // CHUNK)
-        text = np.full(n * CHUNK, 32, np.uint8)
-        text[: len(data)] = data
-        blank = np.ones(n * CHUNK, bool)
-        blank[: len(data)] = space
-        byte, gap = np.ascontiguousarray(text.reshape(n, CHUNK).T).astype(np.uint64), np.ascontiguousarray(blank.reshape(n, CHUNK).T)
-        out = np.zeros((CHUNK, n), np.int32)
-        state = np.zeros(n, np.int64)
-        for i in range(CHUNK):
-            state = self._move(state, byte[i], gap[i], out[i])
-        synced = gap.any(axis=0)
-        entry = compose(state, synced)
-        # heads: from the true entry state up to the first white space
-        live, state, i = np.flatnonzero(entry != START), entry[entry != START], 0
-        while len(live) and i < CHUNK:
-            emitted = np.zeros(len(live), np.int32)
-            state = self._move(state, byte[i, live], gap[i, live], emitted)
-            out[i, live] = emitted
-            on = ~gap[i, live]
-            live, state, i = live[on], state[on], i + 1
-        return np.ascontiguousarray(out.T).reshape(-1)[: len(data)]
-
-    def _move(self, state: np.ndarray, byte: np.ndarray, gap: np.ndarray, emitted: np.ndarray) -> np.ndarray:
-        emitted[gap] = self.emits[state[gap]]
-        to = self.step(state, byte).astype(np.int64)
-        to[gap] = START
-        return to
-
-
-def compose(end: np.ndarray, constant: np.ndarray) -> np.ndarray:
-    """Entry states of chunks from their state maps, by a parallel prefix scan (doubling).
-
-    A map is constant, its end state whatever the entry, or, for a chunk that lies inside one word, leads every state to
-    DEAD, as no word of the automaton is as long as a chunk. Maps f then g compose to g if g is constant, else to DEAD
-    wherever f ends; after the scan each prefix of chunks has one end state. The text enters START.
+    def compile(self, state: tuple | None = None) -> int:
+        """Forgets all states but the start and the given one; its new number."""
+        start = (begin(NONE),)
+        self.info, self.number = [start], {start: START}
+        # the columns of the symbols that were met, the gap first
+        self.met, self.column, self.bits = [GAP], np.full(GAP + 1, -1, np.int32), 8
+        self.column[GAP] = 0
+        self.moves = np.zeros(1 << 20, np.int32)
+        return self._numbered(state or start)
+
+    def _numbered(self, state: tuple) -> int:
+        i = self.number.setdefault(state, len(self.info))
+        if i == len(self.info):
+            self.info.append(state)
+            if len(self.info) << self.bits > len(self.moves):
+                self.moves = np.concatenate([self.moves, np.zeros(len(self.moves), np.int32)])
+        return i
+
+    def columns(self, symbols: np.ndarray) -> np.ndarray:
+        """The table's columns of symbols; new symbols get one."""
+        for s in np.flatnonzero((np.bincount(symbols, minlength=GAP + 1) > 0) & (self.column < 0)).tolist():
+            self.column[s] = len(self.met)
+            self.met.append(s)
+        while len(self.met) > 1 << self.bits:
+            wide = np.zeros((len(self.moves) >> self.bits, 2 << self.bits), np.int32)
+            wide[:, : 1 << self.bits] = self.moves.reshape(-1, 1 << self.bits)
+            self.moves, self.bits = wide.reshape(-1), self.bits + 1
+        return self.column[symbols]
+
+    def _move(self, state: int, symbol: int) -> int:
+        """The packed next state and count of a transition, from the merges."""
+        if symbol == GAP:
+            return START << 8 | LIFT
+        trie, token, inner, fit, fits = self.trie.get, self.token, self.inner, self.merges.fit.get, self.merges.fits
+        ends, found, count, live = symbol >= END, NONE, 0, []
+        read = symbol - END if ends and self.merges.open else symbol
+        for entry in self.info[state]:
+            to = trie(entry >> 28 << 10 | read)
+            if to is None:
+                continue
+            if found < 0 and token[to] >= 0:
+                before, t = (entry >> 8 & 0xFFFFF) - 1, token[to]
+                if before >= 0:
+                    good = fit(before << 20 | t)
+                    if good is None:
+                        good = fits(before, t)
+                if before < 0 or good:
+                    found, count = t, (entry & 255) - LIFT + 1
+            if inner[to] and not ends:
+                live.append(to << 28 | entry & 0xFFFFFFF)
+        if found < 0:
+            raise ValueError(f"the vocabulary has no token for byte {symbol & 255}")
+        if not -LIFT < count < LIFT:
+            raise ValueError("a token of more than 127 bytes")
+        return (START if ends else self._numbered((*[e - count for e in live], begin(found)))) << 8 | count + LIFT
+
+    def step(self, packed: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """The packed next states and emitted counts; transitions that are not there yet are compiled."""
+        at = (packed & -256).astype(np.int64)
+        if self.bits > 8:
+            at <<= self.bits - 8
+        at += column
+        out = self.moves[at]
+        if not out.all():
+            keys = np.unique(at[out == 0])
+            made = [self._move(k >> self.bits, self.met[k & (1 << self.bits) - 1]) for k in keys.tolist()]
+            self.moves[keys] = made
+            out = self.moves[at]
+        return out
+
+    def _advance(self, packed: np.ndarray, columns: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+        """The packed states after all rows of columns, a chunk each; the emitted counts, lifted, go to out."""
+        for i, row in enumerate(columns):
+            packed = self.step(packed, row)
+            if out is not None:
+                out[i] = packed.astype(np.uint8)
+        return packed & -256
+
+    def run(self, symbols: np.ndarray, entry: int = START) -> tuple[np.ndarray, int]:
+        """The emitted counts by symbol, lifted, of a run that is entered in a state, and the state that it leaves."""
+        n = -(-len(symbols) // CHUNK)
+        rows = np.zeros(n * CHUNK, np.int32)
+        rows[: len(symbols)] = self.columns(symbols)
+        rows = np.ascontiguousarray(rows.reshape(n, CHUNK).T)
+        guess = self._advance(np.full(n, START, np.int32), rows[CHUNK - WARM :])
+        enter = np.concatenate([np.array([entry << 8], np.int32), guess[:-1]])
+        out = np.zeros((CHUNK, n), np.uint8)
+        leave = self._advance(enter, rows, out)
+        while not compose(enter, leave).all():
+            # where a chunk meets a state that its map is not known at, all such at once
+            todo = np.flatnonzero(enter[1:] != leave[:-1]) + 1
+            enter[todo] = leave[todo - 1]
+            some = np.zeros((CHUNK, len(todo)), np.uint8)
+            leave[todo] = self._advance(enter[todo], np.ascontiguousarray(rows[:, todo]), some)
+            out[:, todo] = some
+        # the padding is gaps: the state at the end is that of the last symbol
+        rest = len(symbols) % CHUNK
+        last = self._advance(enter[-1:], rows[:rest, -1:]) if rest else leave[-1:]
+        return np.ascontiguousarray(out.T).reshape(-1)[: len(symbols)], int(last[0]) >> 8
+
+    def sums(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """What a text of any length emits between places in it, run from the start, by segments."""
+        out, state = np.zeros(len(at) - 1, np.int64), START
+        for begin in range(0, len(symbols), SEGMENT):
+            if len(self.info) > MOST_STATES:
+                state = self.compile(self.info[state])
+            part, state = self.run(symbols[begin : begin + SEGMENT], state)
+            total = np.concatenate([[0], np.cumsum(part, dtype=np.int64)])
+            cut = np.clip(at - begin, 0, len(part))
+            out += total[cut[1:]] - total[cut[:-1]] - LIFT * (cut[1:] - cut[:-1])
+        return out
+
+
+def compose(enter: np.ndarray, leave: np.ndarray) -> np.ndarray:
+    """Whether the composition of each chunk's map after all maps before it is defined, by a parallel prefix scan.
+
+    A map is the partial function that takes enter to leave. Maps of neighbours, f then g, compose to one that takes f's
+    enter to g's leave, defined if f leaves in the state that g is known to be entered in.
     """
-    state, known, shift = end.copy(), constant.copy(), 1
-    while shift < len(state) and not known.all():
-        open_, before = ~known[shift:], known[:-shift].copy()
-        state[shift:][open_] = DEAD
-        known[shift:] |= before
-        shift *= 2
-    state[~known] = DEAD  # chunks before any white space
-    return np.concatenate([[START], state[:-1]])
-
-
-_BUILT: dict[str, Transducer] = {}
-
-
-def counts(own: PieceEncoder, machine: Transducer, column: pa.Array) -> np.ndarray:
-    """Token counts of the texts of a column."""
-    parts = [np.zeros(0, np.int64)]
-    for a, b, data, offsets in W.slices(column):
-        odd = own._odd(data, offsets) if own.words else np.ones(b - a, bool)
-        total = np.zeros(b - a, np.int64)
-        for i in np.flatnonzero(odd):
-            total[i] = len(own.whole(data[offsets[i] : offsets[i + 1]].tobytes().decode()))
-        if not odd.all():
-            low = W.LOWER[data]
-            # a separator after each row
-            row = np.repeat(np.arange(b - a), np.diff(offsets))
-            text, at = np.full(len(low) + b - a, 10, np.uint8), offsets + np.arange(b - a + 1)
-            text[np.arange(len(low)) + row] = low
-            emitted = machine.run(text, W.SPACE[text])
-            unknown = np.flatnonzero(emitted < 0)
-            unknown = unknown[~odd[np.searchsorted(at, unknown, "right") - 1]]
-            emitted[emitted < 0] = 0
-            if len(unknown):
-                starts, ends, _ = W.spans(text, np.array([0, len(text)]))
-                mine = np.searchsorted(ends, unknown)
-                starts, ends = starts[mine], ends[mine]
-                _, first, inverse = np.unique(W.hashes(text, starts, ends), return_index=True, return_inverse=True)
-                n = word_counts(own, [text[starts[i] : ends[i]].tobytes() for i in first])
-                emitted[unknown] = n[inverse]
-                short = np.flatnonzero(ends[first] - starts[first] <= LONGEST)
-                if machine.states > MOST_STATES:
-                    machine.compile()
-                machine.learn(text, starts[first[short]], ends[first[short]], n[short])
-            sums = np.concatenate([[0], np.cumsum(emitted.astype(np.int64))])
-            total = np.where(odd, total, sums[at[1:]] - sums[at[:-1]])
-        parts.append(total)
-    return np.concatenate(parts)
-
-
-def word_counts(own: PieceEncoder, found: list[bytes]) -> np.ndarray:
-    """The library's token count of each word."""
-    out, hard = np.zeros(len(found), np.int32), []
-    for i, w in enumerate(found):
-        text = w.decode()
-        ids = own._simple(text) if len(w) <= W.LONG else None
-        if ids is None:
-            hard.append((i, text))
-        else:
-            out[i] = len(ids)
-    for at in range(0, len(hard), 1000):
-        part = hard[at : at + 1000]
-        for (i, _), e in zip(part, own.tk.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
-            out[i] = len(e.ids)
-    return out
-
-
-def transducer(path: str) -> Transducer:
-    """The worker's automaton for a tokenizer file; it outlives a task."""
+    first, known, shift = enter.copy(), np.ones(len(enter), bool), 1
+    while shift < len(enter):
+        fits = known[:-shift] & known[shift:] & (leave[:-shift] == first[shift:])
+        known[shift:], first[shift:], shift = fits, first[:-shift].copy(), 2 * shift
+    return known
+
+
+class Characters:
+    """Lower case and kind of each code point; built once a worker."""
+
+    def __init__(self) -> None:
+        self.lower, self.kind = np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, np.uint8)
+        self.longer: dict[int, str] = {}
+        kinds = {"L": LETTER, "N": DIGIT}
+        for c in range(0x110000):
+            if 0xD800 <= c < 0xE000:
+                continue
+            x = chr(c)
+            kind = kinds.get(unicodedata.category(x)[0])
+            if kind:
+                self.kind[c] = kind
+            low = x.lower()
+            if low != x:
+                if len(low) == 1:
+                    self.lower[c] = ord(low)
+                else:
+                    self.longer[c] = low
+        self.kind[WHITE] = SPACE
+        # characters whose lower case is several, or has another number of bytes
+        size = 1 + (np.arange(0x110000) >= 0x80) + (np.arange(0x110000) >= 0x800) + (np.arange(0x110000) >= 0x10000)
+        self.longer |= {int(c): chr(self.lower[c]) for c in np.flatnonzero(size != size[self.lower])}
+
+
+class Counter:
+    """Token counts of texts by the compiled machine of a tokenizer file."""
+
+    def __init__(self, path: str):
+        with open(path) as f:
+            d = json.load(f)
+        normal, pre = [x["type"] for x in (d.get("normalizer") or {}).get("normalizers", [])], d.get("pre_tokenizer") or {}
+        steps = [x["type"] for x in pre.get("pretokenizers", [])]
+        self.own = None
+        if d["model"]["type"] != "BPE" or d.get("truncation") or d.get("padding") or d["model"].get("byte_fallback") or normal != ["NFC", "Replace", "Lowercase"] or steps != ["Split", "ByteLevel"]:
+            from textloom.llm.pieces import PieceEncoder
+
+            self.own = PieceEncoder(path)
+            return
+        self.machine, self.characters = Machine(Merges(d["model"])), Characters()
+        special = [x["content"] for x in d.get("added_tokens", [])]
+        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.odd = np.arange(256) >= 0xCC
+        self.odd[[0xC4, 0xC8, *(s.encode()[0] for s in special)]] = True
+        self.longer = re.compile("[" + "".join(map(chr, self.characters.longer)) + "]")
+        self.ascii = np.concatenate([self.characters.kind[:128], np.zeros(128, np.uint8)])
+
+    def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The slice with odd rows put in the normal form, and the special tokens taken out of each row."""
+        n = len(offsets) - 1
+        taken = np.zeros(n, np.int64)
+        # what lies below U+0300 is composed, and U+0130, U+023A and U+023E alone have other lower cases there
+        at = np.flatnonzero(self.odd[data])
+        odd = np.unique(np.searchsorted(offsets, at, "right") - 1).tolist()
+        if not odd:
+            return data, offsets, taken
+        rows = []
+        raw = data.tobytes()
+        changed = False
+        last = 0
+        sizes = np.diff(offsets)
+        for i in odd:
+            was = raw[offsets[i] : offsets[i + 1]]
+            text = was.decode()
+            if self.special:
+                text, taken[i] = self.special.subn(" ", text)
+            if not unicodedata.is_normalized("NFC", text):
+                text = unicodedata.normalize("NFC", text)
+            text = self.longer.sub(lambda m: self.characters.longer[ord(m[0])], text)
+            now = text.encode()
+            if now != was:
+                rows += [raw[last : offsets[i]], now]
+                last, sizes[i], changed = offsets[i + 1], len(now), True
+        if not changed:
+            return data, offsets, taken
+        rows.append(raw[last:])
+        return np.frombuffer(b"".join(rows), np.uint8), np.concatenate([[0], np.cumsum(sizes)]), taken
+
+    def _kinds(self, text: np.ndarray) -> np.ndarray:
+        """The kind of each byte's character, and lower case put in its place where it has as many bytes."""
+        kind = self.ascii[text]
+        at = np.flatnonzero(text >= 0xC0)
+        if not len(at):
+            return kind
+        lead, follow = text[at], [text[np.minimum(at + k, len(text) - 1)].astype(np.uint32) & 63 for k in (1, 2, 3)]
+        size = 2 + (lead >= 0xE0).astype(np.int64) + (lead >= 0xF0)
+        code = lead.astype(np.uint32) & np.array([0, 0, 31, 15, 7], np.uint32)[size]
+        for k, more in enumerate(follow, 1):
+            code = np.where(size > k, code << np.uint32(6) | more, code)
+        low = self.characters.lower[code]
+        change = np.flatnonzero(low != code)
+        for i, c in zip(change.tolist(), low[change].tolist(), strict=True) if len(change) < 64 else ():
+            text[at[i] : at[i] + size[i]] = np.frombuffer(chr(c).encode(), np.uint8)
+        if len(change) >= 64:
+            new = np.frombuffer(low[change].tobytes().decode("utf-32-le").encode(), np.uint8)
+            w = size[change]
+            text[np.repeat(at[change] - (np.cumsum(w) - w), w) + np.arange(len(new))] = new
+        of = self.characters.kind[low]
+        for k in range(4):
+            some = np.flatnonzero(size > k)
+            kind[at[some] + k] = of[some]
+        return kind
+
+    def symbols(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all rows, a gap after each row, and where each row begins."""
+        n = len(offsets) - 1
+        at = offsets + np.arange(n + 1)
+        text = np.empty(len(data) + n, np.uint8)
+        gap = np.ones(len(text), bool)
+        gap[at[1:] - 1] = False
+        text[gap], text[at[1:] - 1] = W.LOWER[data], 10
+        kind = self._kinds(text)
+        before = np.empty_like(kind)
+        before[:1], before[1:] = SPACE, kind[:-1]
+        start = (kind != before) | (kind == DIGIT)
+        start &= (text & 0xC0) != 0x80
+        self._contractions(text, kind, before, start)
+        blank = kind == SPACE
+        ends = ~blank
+        ends[:-1] &= start[1:] | blank[1:]
+        out = text.astype(np.int32)
+        out[ends] += END
+        out[blank] = GAP
+        return out, at
+
+    @staticmethod
+    def _contractions(text: np.ndarray, kind: np.ndarray, before: np.ndarray, start: np.ndarray) -> None:
+        """An apostrophe that begins a pre-token takes one of a few endings with it; what follows begins anew."""
+        at = np.flatnonzero(text == 39)
+        at = at[before[at] != OTHER]
+        one, two = (text[np.minimum(at + k, len(text) - 1)] for k in (1, 2))  # a row ends in a gap
+        size = np.where(np.isin(one, [*b"stmd"]), 2, np.where((one == 114) & (two == 101) | (one == 118) & (two == 101) | (one == 108) & (two == 108), 3, 0))
+        at, size = at[size > 0], size[size > 0]
+        start[at + 1] = False
+        to = at + size
+        start[to[kind[to] != SPACE]] = True
+
+    def counts(self, column: pa.Array) -> np.ndarray:
+        """Token counts of the texts of a column."""
+        parts = [np.zeros(0, np.int64)]
+        for a, b, data, offsets in W.slices(column):
+            if self.own:
+                parts.append(np.array([len(self.own.whole(data[i:j].tobytes().decode())) for i, j in zip(offsets, offsets[1:], strict=False)], np.int64))
+                continue
+            data, offsets, taken = self._plain(data, offsets)
+            symbols, at = self.symbols(data, offsets)
+            parts.append(self.machine.sums(symbols, at) + taken)
+        return np.concatenate(parts)
+
+
+_BUILT: dict[str, Counter] = {}
+
+
+def counter(path: str) -> Counter:
+    """The worker's machine for a tokenizer file; it outlives a task."""
     if path not in _BUILT:
-        _BUILT[path] = Transducer(encoder(path))
+        _BUILT[path] = Counter(path)
     return _BUILT[path]
 
 
@@ -190,10 +419,10 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, over: int = OVER
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = transducer(path)
+        own = counter(path)
         for batch in batches:
             texts = batch.column("text")
-            n = counts(machine.own, machine, texts)
+            n = own.counts(texts)
             size = np.array(pa.compute.binary_length(texts).fill_null(0), np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(n), pa.array(n > over)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

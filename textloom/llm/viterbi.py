@@ -32,8 +32,7 @@ from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, Stru
 
 from textloom.llm import words as W
 from textloom.llm.pieces import PieceEncoder, public_path
-from textloom.llm.tables import Table
-from textloom.llm.transducer import DEAD, Transducer
+from textloom.llm.tables import Table, Trie
 
 MARK = "▁"
 #: Bytes of a stretch that is searched in step with others; log probability taken off for an unknown character; pairs of
@@ -180,7 +179,7 @@ class LockStep:
         names = sorted(id_of)
         raw = [p.encode() for p in names]
         ends = np.cumsum([len(r) for r in raw])
-        self.trie = Transducer()
+        self.trie = Trie()
         self.trie.learn(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], ends[:-1]]), ends, np.array([id_of[p] for p in names], np.int32))
         self.longest = max(map(len, raw), default=1)
         self.fits = Table()
@@ -218,11 +217,11 @@ class LockStep:
             if len(live) < len(begin):
                 begin, state, limit = begin[live], state[live], limit[live]
             state = self.trie.step(state, data[begin + step].astype(np.uint64)).astype(np.int64)
-            live = np.flatnonzero(state != DEAD)
+            live = np.flatnonzero(state != Trie.DEAD)
             begin, state, limit = begin[live], state[live], limit[live]
             if not len(begin):
                 break
-            piece = self.trie.emits[state]
+            piece = self.trie.values[state]
             hit = np.flatnonzero(piece >= 0)
             found.append((begin[hit], np.full(len(hit), step + 1), piece[hit]))
         begin, length, piece = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
