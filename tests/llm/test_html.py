@@ -1,8 +1,10 @@
 """Main text of pages: boilerplate out, the article whole."""
 
 import html as std
+import itertools
 import random
 import re
+import time
 
 import pytest
 
@@ -98,3 +100,78 @@ def test_other_languages_keep_their_paragraphs(para):
     page = f"<ul>{links}</ul><h1>{para[:20]}</h1><p>{para}</p><p>{para[:100]}</p><p>{para}</p><ul>{links}</ul><p>©</p>"
     assert H.main_text(page) == f"{para[:20].strip()} {para} {para[:100].strip()} {para}"
     assert H.main_text(f"<h1>Heading</h1><p>{para[:100]}</p>") == f"Heading {para[:100].strip()}"
+
+
+@pytest.mark.parametrize(
+    "block,want",
+    [
+        ("<p><a href=r>The complete report of the commission on the matter</a> is out.</p>", "The complete report of the commission on the matter is out."),
+        ("<div class=share-price>The price is 3.</div>", "The price is 3."),
+        ("<p class=tags-list>Tags are words.</p>", "Tags are words."),
+        ("<div id=menu>Soup of the day and fish.</div>", "Soup of the day and fish."),
+        ("<p><a href=x>a" + "&nbsp;" * 60 + "</a> short link in a line of words</p>", "a short link in a line of words"),
+        ("<div class=share><a href=f>Facebook</a> <a href=t>Mail it</a></div>", ""),
+        ("<h3>More of it</h3><ul><li><a href=1>One other page</a></li><li><a href=2>Another page</a></li></ul>", ""),
+        ("<div class=ad>A long advert with the usual words of the language in it, that is for the reader and not of the article at all, as you know it.</div>", ""),
+    ],
+)
+def test_blocks_of_a_marked_article(block, want):
+    assert H.main_text(f"<article><p>{PARA}</p>{block}<p>Short end.</p></article>") == " ".join(x for x in (PARA, want, "Short end.") if x)
+
+
+def test_neighbours_against_brute_force():
+    def brute(found, labels, marked):
+        if "good" not in labels:
+            labels = ["good" if x == "near!" else x for x in labels]
+        out, decided = [], [i for i, x in enumerate(labels) if x in ("good", "bad")]
+        for i, b in enumerate(found):
+            before, after = [j for j in decided if j < i], [j for j in decided if j > i]
+            edge = "good" if marked else "bad"
+            a, z = labels[before[-1]] if before else edge, labels[after[0]] if after else edge
+            if labels[i] in ("good", "bad"):
+                out.append(labels[i])
+            elif labels[i] != "open":
+                out.append("good" if marked or "good" in (a, z) else "bad")
+            elif b.heading:
+                out.append(z if after else a)
+            elif a == z:
+                out.append(a)
+            elif marked:
+                out.append("good")
+            else:
+                da, dz = i - before[-1] if before else 10**6, after[0] - i if after else 10**6
+                out.append("bad" if da == dz else a if da < dz else z)
+        return out
+
+    for n in range(6):
+        for labels in itertools.product(["good", "near!", "near", "open", "bad"], repeat=n):
+            for marked in (False, True):
+                for k in range(n + 1 if n < 4 else 1):
+                    found = [H.Block("x", 0, marked, i == k - 1) for i in range(n)]
+                    assert H.pass_two(found, list(labels), marked) == brute(found, list(labels), marked)
+
+
+def test_pages_without_article_marks(spark):
+    """The stored pages without their article tags: both passes have to find the text."""
+    kept = total = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        want = std.unescape(re.sub(r"<[^>]+>", " ", re.search(r"<article>(.*)</article>", r.html, re.S)[1])).split()
+        got = H.main_text(r.html.replace("<article>", "<div>").replace("</article>", "</div>")).split()
+        total += len(want)
+        kept += len(want) if got == want else sum((w in set(want)) for w in got)
+        assert not set(re.findall(r"<li><a [^>]*>([^<]{9,})", r.html)) & set(got) - set(want)
+    assert kept >= 0.9 * total
+
+
+def test_unmatched_tags_take_linear_time():
+    def took(make, n):
+        began = time.perf_counter()
+        H.main_text(make(n))
+        return time.perf_counter() - began
+
+    for make in (
+        lambda n: "<div>" * n + "</ul>" * n, lambda n: "<b hidden><div>" + "<span hidden>" * n + "</b>" * n, lambda n: "<ul><li>" * n + "</p>" * n, lambda n: "<div><p>" * n + "</div>" * n,
+        lambda n: "<div class=ad><p>x" * n, lambda n: "<section hidden>" * n + "</i></section>" * n,
+    ):
+        took(make, 2000)
+        assert took(make, 40_000) < 40 * max(took(make, 4000), 0.01)
