@@ -1,51 +1,27 @@
-"""Shared plumbing: table loading, the shared folder, and writing a table to cut lineage."""
+"""Shared plumbing: table loading, tables in the shared folder, and what may be sent to all executors."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.tables import drop_path, new_path, shared_dir, written
+
+__all__ = ["SLICE_BYTES", "drop_path", "free", "new_path", "sent", "shared_dir", "table", "written"]
 
 #: Bytes of text that a vectorised step holds at once; its temporaries are a small multiple of this.
 SLICE_BYTES = 2 << 20
+#: Bytes of a table, as rows in memory, that may be sent to all executors.
+SEND_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing else uses; Hadoop removes it when the application ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read again: lineage ends there, so a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._textloom_path = path
-    return out
+def sent(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table marked for broadcast, if its rows at so many bytes each stay within SEND_BYTES; else as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= SEND_BYTES else df
 
 
 def free(df: DataFrame, *names: str) -> list[str]:

@@ -6,10 +6,15 @@
    below is exact and does not depend on the order of rows or on partitions. Length is among them and variety falls with
    it, so there is a second vector, where a text of more than ``SPAN`` words counts as one of ``SPAN`` words with the mean
    variety of all its runs of so many;
-2. for both vectors, per (lang, source) a deterministic start, medians and quartile ranges, then ``STEPS`` concentration steps: the
-   ``COVER`` share of rows with the smallest distances gives the next mean and covariance (one grouped aggregation of
-   integer moments each, partial sums before the shuffle, so a hot source costs no more than its rows);
-3. the covariance is scaled so that the median distance is that of a chi-square, and rows whose squared Mahalanobis
+2. rows are summed up in cells of their group, for both vectors: one grouped aggregation of integer moments, partial sums
+   before the shuffle, so a hot source costs no more than its rows. A cell is as wide as ``FLOOR``, below which differences
+   do not count, so a group has no more cells than that grid, however many rows it has;
+3. per (lang, source) the ``COVER`` share of rows whose covariance has the least determinant is sought over these cells from
+   several deterministic starts: medians with quartile ranges, all rows, the rows near the medians in every coordinate,
+   the half nearest by the sum of coordinates, and the fullest cell. From each, concentration steps follow until the
+   subset stays the same: the cells nearest by the last fit give the next mean and covariance; the last cell counts in
+   part, so that each subset has the same size. Of all starts the least determinant is kept;
+4. the covariance is scaled so that the median distance is that of a chi-square, and rows whose squared Mahalanobis
    distance exceeds ``CUTOFF`` by both fits are rejected: ``distance2`` is the lesser one, so great length alone rejects none.
 
 Groups with fewer than ``MIN_ROWS`` rows take the fit of their language, and languages with fewer the fit of all rows.
@@ -23,18 +28,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import words as W
-from textloom.llm.common import free, written
+from textloom.llm.common import free, sent, written
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
-GRID, STEPS, COVER, MIN_ROWS, STEP_E = 256, 3, 0.75, 200, 24
+GRID, COVER, MIN_ROWS = 256, 0.75, 200
+#: Concentration steps at most, and robust deviations of each coordinate that are near the medians.
+MOST_STEPS, NEAR = 200, 2.0
 #: Beyond the upper 1e-12 quantile of a chi-square with six degrees of freedom (68): only gross outliers go.
 CUTOFF, MEDIAN = 72.0, 5.348
-#: Least standard deviation of each statistic.
+#: Least standard deviation of each statistic, and the width of a cell.
 FLOOR = (0.5, 0.2, 0.05, 0.05, 0.05, 0.05)
 #: A text of n words has noisy shares: its squared distance counts n / (n + NOISE).
 NOISE = 40
@@ -43,9 +51,11 @@ SPAN = 512
 NAMES = ("v_words", "v_variety", "v_length", "v_symbols", "v_upper", "v_marks")
 #: The same with the length and the variety of the average run.
 RUN_NAMES = ("r_words", "r_variety", *NAMES[2:])
-#: A fit is sent to all executors up to so many groups; beyond that it is joined by a shuffle.
-SEND_GROUPS = 20_000
+#: Both vectors by a letter that begins their groups' names.
+VECTORS = {"W": NAMES, "R": RUN_NAMES}
 P = len(NAMES)
+#: What a row of a fit takes in memory at most, with names of some length.
+FIT_BYTES = 1024
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_upper", "n_marks")
 #: Distinct words summed over all runs of SPAN words; n_distinct of a text that is no longer.
@@ -155,88 +165,118 @@ def _distance(names: tuple[str, ...] = NAMES, mean: str = "mean", inverse: str =
     return total
 
 
-def _moments() -> list[F.Column]:
-    pairs = [(i, j) for i in range(P) for j in range(i, P)]
-    return [F.count(F.lit(1)).alias("n"), *(F.sum(k).alias(f"s{i}") for i, k in enumerate(NAMES)), *(F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"q{i}_{j}") for i, j in pairs)]
-
+FIT = "grp string, mean array<double>, inverse array<double>, scale double, logdets array<double>"
 
-FIT = "grp string, mean array<double>, inverse array<double>"
 
+def cells(rows: DataFrame) -> DataFrame:
+    """Counts, sums and sums of products of each cell (c...) of each group, from rows of grp and NAMES."""
+    pairs = [(i, j) for i in range(P) for j in range(i, P)]
+    at = [F.floor(F.col(k) / (FLOOR[i] * GRID)).alias(f"c{i}") for i, k in enumerate(NAMES)]
+    sums = [*(F.sum(k).alias(f"s{i}") for i, k in enumerate(NAMES)), *(F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"q{i}_{j}") for i, j in pairs)]
+    return rows.groupBy("grp", *at).agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
+class Cells:
+    """The cells of a group, in the order of their coordinates."""
+
+    def __init__(self, n: np.ndarray, s: np.ndarray, q: np.ndarray):
+        self.n, self.s, self.q = n.astype(np.float64), s.astype(np.float64), q.astype(np.float64)
+        self.at = self.s / self.n[:, None] / GRID
+
+    def moments(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Mean, inverse covariance and log determinant of the rows, each cell's with a weight."""
+        n = (weight * self.n).sum()
+        mean = weight @ self.s / n
+        cov = np.empty((P, P))
+        cov[np.triu_indices(P)] = weight @ self.q / n
+        cov = np.triu(cov) + np.triu(cov, 1).T - np.outer(mean, mean)
+        cov = cov / GRID**2 + np.diag(np.square(FLOOR))
+        return mean / GRID, np.linalg.inv(cov), float(np.linalg.slogdet(cov)[1])
+
+    def nearest(self, distance: np.ndarray, share: float) -> np.ndarray:
+        """Weights of the nearest cells that together hold the share of the rows; the last one counts in part."""
+        order = np.argsort(distance, kind="stable")
+        before = np.cumsum(self.n[order]) - self.n[order]
+        out = np.empty(len(order))
+        out[order] = np.clip((share * self.n.sum() - before) / self.n[order], 0, 1)
+        return out
 
-def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Mean and inverse covariance from the moments of each group."""
-    for batch in batches:
-        rows = batch.to_pylist()
-        out = []
-        for r in rows:
-            n = max(r["n"], 1)
-            mean = np.array([r[f"s{i}"] / n for i in range(P)])
-            cov = np.empty((P, P))
-            for i in range(P):
-                for j in range(i, P):
-                    cov[i, j] = cov[j, i] = (r[f"q{i}_{j}"] / n - mean[i] * mean[j]) / GRID**2
-            out.append({"grp": r["grp"], "mean": (mean / GRID).tolist(), "inverse": np.linalg.inv(cov + np.diag(np.square(FLOOR))).ravel().tolist()})
-        yield pa.RecordBatch.from_pylist(out, pa.schema([("grp", pa.string()), ("mean", pa.list_(pa.float64())), ("inverse", pa.list_(pa.float64()))]))
+    def distance(self, mean: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+        d = self.at - mean
+        return np.einsum("ni,ij,nj->n", d, inverse, d)
 
+    def quantile(self, x: np.ndarray, share: float) -> float:
+        order = np.argsort(x, kind="stable")
+        return float(x[order][np.searchsorted(np.cumsum(self.n[order]), share * self.n.sum())])
 
-def _first_fit(rows: DataFrame) -> DataFrame:
-    """Medians and scaled quartile ranges; values lie on a grid, so the exact percentiles keep few distinct values."""
-    got = rows.groupBy("grp").agg(*(F.percentile(k, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(k) for k in NAMES))
-    spread = [F.lit(1.0) / (F.pow((F.col(k)[2] - F.col(k)[0]) / (1.349 * GRID), 2) + FLOOR[i] ** 2) for i, k in enumerate(NAMES)]
-    return got.select("grp", F.array(*(F.col(k)[1] / GRID for k in NAMES)).alias("mean"), F.array(*(spread[i] if i == j else F.lit(0.0) for i in range(P) for j in range(P))).alias("inverse"))
+    def starts(self) -> list[np.ndarray]:
+        """The first subset of each start, as weights."""
+        low, middle, high = (np.array([self.quantile(x, share) for x in self.at.T]) for share in (0.25, 0.5, 0.75))
+        spread = np.square((high - low) / 1.349) + np.square(FLOOR)
+        z = np.abs(self.at - middle) / np.sqrt(spread)
+        full = self.at[np.argmax(self.n)]
+        near = (z <= NEAR).all(axis=1)
+        return [
+            self.nearest(self.distance(middle, np.diag(1 / spread)), COVER), np.ones(len(self.n)), near.astype(np.float64) if near.any() else np.ones(len(self.n)),
+            self.nearest(z.sum(axis=1), 0.5), self.nearest(self.distance(full, np.diag(1 / spread)), 0.5),
+        ]
 
+    def settled(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """The fit at which concentration steps from a subset end."""
+        fit = self.moments(weight)
+        for _ in range(MOST_STEPS):
+            after = self.nearest(self.distance(*fit[:2]), COVER)
+            if (after == weight).all():
+                break
+            weight, fit = after, self.moments(after)
+        return fit
 
-def _with_fit(rows: DataFrame, fit: DataFrame, groups: int) -> DataFrame:
-    """A fit has one short row a group: sent to all executors up to SEND_GROUPS, else joined by a shuffle."""
-    return rows.join(F.broadcast(fit) if groups <= SEND_GROUPS else fit, "grp")
+    def fit(self) -> dict:
+        """The fit of the least determinant, with its scale and the log determinants of all starts."""
+        fits = [self.settled(w) for w in self.starts()]
+        mean, inverse, _ = min(fits, key=lambda f: f[2])
+        scale = max(self.quantile(self.distance(mean, inverse), 0.5) / MEDIAN, 0.2)
+        return {"mean": mean.tolist(), "inverse": inverse.ravel().tolist(), "scale": scale, "logdets": [f[2] for f in fits]}
 
 
-def _on_grid(d: F.Column) -> F.Column:
-    """Squared distances as integers, STEP_E steps to a factor e: a group has few distinct values of them."""
-    return F.round(F.log(F.least(F.greatest(d, F.lit(1e-4)), F.lit(1e9))) * STEP_E).cast("int")
+def fits(rows: DataFrame) -> DataFrame:
+    """FIT of each group, from rows of grp and NAMES. A task holds a group's cells, never its rows."""
 
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values([f"c{i}" for i in range(P)])
+        made = Cells(group["n"].to_numpy(), group[[f"s{i}" for i in range(P)]].to_numpy(), group[[f"q{i}_{j}" for i in range(P) for j in range(i, P)]].to_numpy())
+        return pd.DataFrame([{"grp": group["grp"].iloc[0], **made.fit()}])
 
-def _up_to(binned: DataFrame, share: float) -> DataFrame:
-    """The nearest bins of each group that together hold the share of its rows; windows over at most 30 * STEP_E bins."""
-    near = Window.partitionBy("grp").orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = binned.withColumns({"_c": F.sum("n").over(near), "_t": F.sum("n").over(Window.partitionBy("grp"))})
-    return out.filter(F.col("_c") - F.col("n") < share * F.col("_t")).drop("_c", "_t")
+    return cells(rows).groupBy("grp").applyInPandas(run, FIT)
 
 
-def _robust_fit(fitting: DataFrame, groups: int) -> DataFrame:
-    """grp, mean, inverse and scale from rows of grp and NAMES."""
-    fit = written(_first_fit(fitting), "quality-fit")
-    for _ in range(STEPS):
-        binned = _with_fit(fitting, fit, groups).groupBy("grp", _on_grid(_distance()).alias("d")).agg(*_moments())
-        kept = _up_to(binned, COVER).groupBy("grp").agg(*(F.sum(k).alias(k) for k in binned.columns[2:]))
-        fit = written(kept.mapInArrow(_fitted, FIT), "quality-fit")
-    binned = _with_fit(fitting, fit, groups).groupBy("grp", _on_grid(_distance()).alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    scale = _up_to(binned, 0.5).groupBy("grp").agg(F.greatest(F.exp(F.max("d") / STEP_E) / MEDIAN, F.lit(0.2)).alias("scale"))
-    return written(fit.join(scale, "grp"), "quality-fit")
+def _with_fit(rows: DataFrame, fit: DataFrame) -> DataFrame:
+    return rows.join(sent(fit, FIT_BYTES), "grp")
 
 
 def robust_verdict(stats: DataFrame, cutoff: float = CUTOFF, min_rows: int = MIN_ROWS) -> DataFrame:
-    """Adds ``distance2`` and ``outlier`` to a table of text_stats (best already written: it is read 2 * STEPS + 5 times)."""
+    """Adds ``distance2`` and ``outlier`` to a table of text_stats (best already written: it is read four times)."""
     lang, source = F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00"))
     sizes = stats.groupBy(lang.alias("l"), source.alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    by_lang, total = sizes.groupBy("l").agg(F.sum("n").alias("nl")), None
+    by_lang = sizes.groupBy("l").agg(F.sum("n").alias("nl"))
     sizes = sizes.join(by_lang, "l").select(
         "l", "s", F.when(F.col("n") >= min_rows, F.concat_ws("\x01", F.lit("s"), "l", "s")).when(F.col("nl") >= min_rows, F.concat_ws("\x01", F.lit("l"), "l")).otherwise(F.lit("all")).alias("grp")
     )
     sizes = written(sizes, "quality-groups")
-    groups = sizes.count()
     # a row counts for its own group, and for those wider ones that some group needs
-    wide = sizes.filter(~F.startswith("grp", F.lit("s"))).select(F.col("grp").alias("g")).distinct()
+    wide = written(sizes.filter(~F.startswith("grp", F.lit("s"))).select(F.col("grp").alias("g")).distinct(), "quality-groups")
     all_rows = vectors(stats).withColumns({"l": lang, "s": source})
-    own = all_rows.join(F.broadcast(sizes) if groups <= SEND_GROUPS else sizes, ["l", "s"])
-    fitting = own.select("*", F.explode(F.array_distinct(F.array("grp", F.concat_ws("\x01", F.lit("l"), "l"), F.lit("all")))).alias("g"))
-    fitting = fitting.join(F.broadcast(wide) if groups <= SEND_GROUPS else wide, "g", "left_semi").unionByName(own.withColumn("g", F.col("grp")).filter(F.startswith("grp", F.lit("s"))).select(*fitting.columns))
-    fitting = fitting.drop("grp").withColumnRenamed("g", "grp")
-    out = own
-    for d, names in (("_whole", NAMES), ("_run", RUN_NAMES)):
-        fit = _robust_fit(fitting.select("grp", *(F.col(k).alias(v) for k, v in zip(names, NAMES, strict=True))), groups)
-        out = _with_fit(out, fit, groups).withColumn(d, _distance(names) / F.col("scale") * F.col("n_words") / (F.col("n_words") + NOISE)).drop("mean", "inverse", "scale")
-    out = out.withColumn("distance2", F.least("_whole", "_run"))
+    own = all_rows.join(sent(sizes, FIT_BYTES), ["l", "s"])
+    both = tuple(dict.fromkeys((*NAMES, *RUN_NAMES)))
+    fitting = own.select(*both, F.explode(F.array(F.concat_ws("\x01", F.lit("l"), "l"), F.lit("all"))).alias("g")).join(sent(wide, FIT_BYTES), "g", "left_semi")
+    fitting = fitting.unionByName(own.filter(F.startswith("grp", F.lit("s"))).select(*both, F.col("grp").alias("g")))
+    # both vectors are fitted in one go: a group of each
+    fitting = fitting.select(F.explode(F.array(*(F.struct(F.concat(F.lit(v), "g").alias("grp"), *(F.col(k).alias(n) for k, n in zip(names, NAMES, strict=True))) for v, names in VECTORS.items()))).alias("x")).select("x.*")
+    fit, out = written(fits(fitting), "quality-fit"), own
+    for v, names in VECTORS.items():
+        mine = fit.filter(F.startswith("grp", F.lit(v))).withColumn("grp", F.substring("grp", F.lit(2), F.length("grp")))
+        out = _with_fit(out, mine).withColumn(v, _distance(names) / F.col("scale") * F.col("n_words") / (F.col("n_words") + NOISE)).drop("mean", "inverse", "scale", "logdets")
+    out = out.withColumn("distance2", F.least(*VECTORS))
     return out.select(*stats.columns, "distance2", (F.col("distance2") > cutoff).alias("outlier"))
 
 
@@ -255,12 +295,11 @@ def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of docs that pass, with all their columns.
 
     Rows are judged by content: texts are not joined by id, so rows that share an id cannot take each other's verdict.
-    The verdict table is keyed by doc_id, lang, source and the text's hash, and joined back as a set of rejects.
+    Rejects are keyed by doc_id and a SHA-256 of language, source and text.
     """
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00")), F.xxhash64("text"), F.length("text")]
-    (name,) = free(docs, "_key")
-    keyed = docs.withColumn(name, F.xxhash64(*key))
-    stats = written(text_stats(keyed, (name, "lang", "source")), "quality-stats")
-    bad = robust_verdict(stats, cutoff).filter(base_failed() | F.col("outlier")).select(name).distinct()
-    bad = written(bad, "quality-rejects")
-    return keyed.join(F.broadcast(bad) if bad.count() <= 2_000_000 else bad, name, "left_anti").select(*docs.columns)
+    id_, hash_ = free(docs, "_id", "_hash")
+    key = F.sha2(F.concat_ws("\x01", *(F.coalesce(c, F.lit("\x00")) for c in ("lang", "source", "text"))), 256)
+    keyed = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), hash_: key})
+    stats = written(text_stats(keyed, (id_, hash_, "lang", "source")), "quality-stats")
+    bad = written(robust_verdict(stats, cutoff).filter(base_failed() | F.col("outlier")).select(id_, hash_).distinct(), "quality-rejects")
+    return keyed.join(sent(bad, 200), [id_, hash_], "left_anti").select(*docs.columns)
