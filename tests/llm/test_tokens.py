@@ -92,11 +92,11 @@ def test_sum_of_squares_places_by_least_sum():
                     best = (value, h)
         assert p.level(s) == best[1]
         p.add(0, np.zeros(s, np.uint32))
-        assert p.count.sum() == p.open == sum(len(x) for x in p.at.values())
+        assert p.count.sum() == sum(len(x) for x in p.at.values())
 
 
 def test_early_merge_loses_nothing():
-    rng, p = random.Random(2), packing.Packer(64, most_open=5)
+    rng, p = random.Random(2), packing.Packer(64, run=5)
     sizes = [rng.randrange(1, 300) for _ in range(500)]
     for i, s in enumerate(sizes):
         p.add(i, np.arange(s, dtype=np.uint32))

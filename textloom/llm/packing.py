@@ -4,9 +4,10 @@ Each partition packs its documents as they come, with no shuffle. A document's i
 windows first; the rest goes to the fill level that minimises the sum of squared counts of partially filled windows,
 kept in an array by level (ties: the fullest). A window that becomes full is written at once.
 
-When the partition ends, the windows still open are merged: their pieces are cut to fill windows whole, so at most one
-is left, and that one is cut at powers of two, which need no padding. Memory is the open windows' ids; their number
-grows with the number of levels, not with the input, and ``MOST_OPEN`` merges them early.
+After each run of ``RUN`` placed pieces, the windows still open are merged: their pieces are cut to fill windows whole,
+so at most one is left, which stays open. At the partition's end that one is cut at powers of two, which need no padding.
+Every placement follows the one rule, whatever the texts, and a task holds no more than a run's ids (RUN * size * 4
+bytes, 128 MB, if each piece opened a window and nearly filled it; a few MB for usual texts).
 
 Nulls and empty texts are the end id alone. Repeated rows are packed each. An empty table gives an empty result.
 sequence_id is the partition number times 2^32 plus a count, so ids differ between partitions; a task that runs again
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from textloom.llm.pieces import encoder, public_path
 
-SIZE, END, MOST_OPEN, ROWS = 4096, 2, 4096, 20_000
+SIZE, END, RUN, ROWS = 4096, 2, 8192, 20_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 Piece = tuple[object, int, int, np.ndarray]  # doc_id, start, tokens of the document, ids
@@ -34,11 +35,10 @@ Piece = tuple[object, int, int, np.ndarray]  # doc_id, start, tokens of the docu
 class Packer:
     """Packs pieces into windows; ``done`` gets (pieces of a window) whenever one is complete."""
 
-    def __init__(self, size: int = SIZE, most_open: int = MOST_OPEN):
-        self.size, self.most = size, most_open
+    def __init__(self, size: int = SIZE, run: int = RUN):
+        self.size, self.run, self.placed = size, run, 0
         self.count = np.zeros(size + 1, np.int64)  # partially filled windows by level
         self.at: dict[int, list[list[Piece]]] = {}
-        self.open = 0
         self.done: list[list[Piece]] = []
 
     def add(self, doc_id: object, ids: np.ndarray) -> None:
@@ -66,13 +66,12 @@ class Packer:
         else:
             self.count[h + s] += 1
             self.at.setdefault(h + s, []).append(window)
-            self.open += 1
-            if self.open > self.most:
-                self.merge()
+        self.placed += 1
+        if self.placed % self.run == 0:
+            self.merge()
 
     def _take(self, h: int) -> list[Piece]:
         self.count[h] -= 1
-        self.open -= 1
         return self.at[h].pop()
 
     def merge(self, last: bool = False) -> None:
@@ -89,9 +88,9 @@ class Packer:
                             self.done.append(window)
                             window, fill = [], 0
         self.count[:] = 0
-        self.at, self.open = {}, 0
+        self.at = {}
         if fill and not last:
-            self.count[fill], self.at, self.open = 1, {fill: [window]}, 1
+            self.count[fill], self.at = 1, {fill: [window]}
         elif fill:
             self.halves(window)
 
