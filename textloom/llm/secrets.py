@@ -2,8 +2,8 @@
 
 Each rule's regular expression gives a Boolean trigram query; a trigram inverted index over the documents answers it by
 intersecting postings, and only candidate rows are tried against that rule. A rule without mandatory trigrams (long hex
-runs) reads every text. Candidates that are few (``SEND_ROWS`` at most, counted first) go to all executors, so that no
-text is shuffled; beyond that the table joins them by id.
+runs) reads every text. Candidates whose bytes are few (counted first) go to all executors, so that no text is
+shuffled; beyond that the table joins them by id.
 
 Spans are code points, end exclusive, leftmost and non-overlapping per kind. A null text is empty and has none. Rows
 that share an id are each scanned; rows without an id are candidates for every rule. An empty table gives an empty
@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import trigrams as T
-from textloom.llm.common import free, written
+from textloom.llm.common import free, sent, written
 
-SEND_ROWS = 2_000_000
+#: What a candidate (an id and a mask) takes in memory at most.
+MARK_BYTES = 64
 
 
 @dataclass(frozen=True)
@@ -80,9 +81,8 @@ def with_spans(docs: DataFrame, name: str, rules: tuple[Rule, ...] = RULES) -> D
     """docs with a new column: an array of (start, kind number, end), sorted."""
     id_, mask_ = free(docs, "_id", "_mask")
     marked = written(candidate_masks(docs, rules), "secret-candidates").withColumnsRenamed({"id": id_, "mask": mask_})
-    few = marked.count() <= SEND_ROWS
     text, every = F.coalesce("text", F.lit("")), F.lit((1 << len(rules)) - 1)
-    joined = docs.join(F.broadcast(marked) if few else marked, F.col("doc_id") == F.col(id_), "left")
+    joined = docs.join(sent(marked, MARK_BYTES), F.col("doc_id") == F.col(id_), "left")
     mask = F.when(F.col("doc_id").isNull(), every).otherwise(F.coalesce(mask_, F.lit(0)))
     none = F.array().cast(SPANS)
     each = []
