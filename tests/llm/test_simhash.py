@@ -4,6 +4,8 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 from textloom.llm import simhash as S
@@ -83,7 +85,54 @@ def test_keep_one_keeps_the_first_of_each_group(spark):
     assert got.count(None) == 1
 
 
-def test_bucket_search_links_what_brute_force_links():
+def rounds_of(fps, size):
+    """Links of one bucket whose key covers the lower 28 bits, passed on until no bucket is too large; batches of so many rows."""
+    at = (S.PIVOTS[None, :] ^ fps[:, None]).view(np.uint64)
+    at = np.ascontiguousarray(np.bitwise_count(at).astype(np.int8)).view(np.int64).ravel()
+    rows = [np.zeros(len(fps), np.int64), fps.view(np.int64), at, np.full(len(fps), (1 << 28) - 1)]
+    u, v, rounds = [], [], 0
+    while len(rows[0]):
+        rounds += 1
+        order = np.argsort(rows[0], kind="stable")
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[order[i : i + size]]) for x in rows], names=["key", "fp", "at", "mask"]) for i in range(0, len(order), size)]
+        out = pa.Table.from_batches(list(S._links(iter(batches))), pa.schema([(k, pa.int64()) for k in ("u", "v", "key", "at", "mask")]))
+        again = out.filter(pc.is_valid(out["key"]))
+        some = out.filter(pc.is_valid(out["v"]))
+        u += some["u"].to_pylist()
+        v += some["v"].to_pylist()
+        rows = [again[k].to_numpy() for k in ("key", "u", "at", "mask")]
+    return np.array(u, np.int64), np.array(v, np.int64), rounds
+
+
+def test_a_task_holds_no_more_than_a_bounded_part_of_a_bucket(monkeypatch):
+    """A bucket of 60,000 fingerprints streams through; what is joined up never exceeds a batch and SPLIT rows."""
+    rng = np.random.default_rng(4)
+    fps = np.unique(rng.integers(0, 1 << 62, 60_000, dtype=np.int64).view(np.uint64) << np.uint64(28))
+    most, join = [0], np.concatenate
+
+    def watched(parts, *a, **k):
+        out = join(parts, *a, **k)
+        most[0] = max(most[0], len(out))
+        return out
+
+    monkeypatch.setattr(S.np, "concatenate", watched)
+    rows = [np.zeros(len(fps), np.int64), fps.view(np.int64), np.zeros(len(fps), np.int64), np.full(len(fps), (1 << 28) - 1)]
+    batches = (pa.RecordBatch.from_arrays([pa.array(x[i : i + 1000]) for x in rows], names=["key", "fp", "at", "mask"]) for i in range(0, len(fps), 1000))
+    n = sum(b.num_rows for b in S._links(batches))
+    assert n == 5 * len(fps) and most[0] <= 5 * (S.SPLIT + 1000)
+
+
+def test_pivot_distances_travel_as_bytes(spark):
+    from pyspark.sql import functions as F
+
+    fps = np.random.default_rng(1).integers(-(1 << 63), (1 << 63) - 1, 50)
+    got = spark.createDataFrame([(int(x),) for x in fps], "fp long").select("fp", S.pivot_distances(F.col("fp")).alias("at")).collect()
+    table = S.pivot_table(np.array([r.at for r in got], np.int64))
+    want = np.bitwise_count(np.array([r.fp for r in got], np.int64).view(np.uint64)[:, None] ^ S.PIVOTS[None, :])
+    assert (table == want).all()
+
+
+def test_bucket_search_links_what_brute_force_links(monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 62, 3, dtype=np.int64).view(np.uint64)
     fps = set()
@@ -94,10 +143,10 @@ def test_bucket_search_links_what_brute_force_links():
                 x ^= 1 << bit
             fps.add(x)
     fps = np.array(sorted(fps), np.uint64)
-    for split in (10, 4096):
-        S.SPLIT, old = split, S.SPLIT
-        u, v = S.bucket_links(np.zeros(len(fps), np.int64), fps.view(np.int64))
-        S.SPLIT = old
+    for split, size in ((20, 7), (20, 1000), (4096, 60)):
+        monkeypatch.setattr(S, "SPLIT", split)
+        u, v, rounds = rounds_of(fps, size)
+        assert (rounds > 1) == (split < len(fps))
         root = {int(p): int(p) for p in fps}
 
         def find(x, root=root):

@@ -2,13 +2,16 @@
 
 Candidates: a fingerprint has ``BLOCKS`` blocks of bits; two that differ in at most four bits agree in at least three of
 the seven, so every link lies in one of 35 buckets keyed by three blocks (27 or 28 bits). Only distinct fingerprints
-are keyed, so copies cost nothing. Within a bucket the pivot distance table decides: Hamming distances of each
-fingerprint to ``PIVOTS`` reference fingerprints are computed once, a pair whose largest coordinate difference exceeds
-the radius is discarded (triangle inequality), and survivors are verified bit by bit.
+are keyed, so copies cost nothing. Within a bucket the pivot distance table decides: Hamming distances of each distinct
+fingerprint to the ``PIVOTS`` reference fingerprints are computed once, before it is keyed, and travel with it, a byte a
+pivot. A pair whose largest coordinate difference exceeds the radius is discarded (triangle inequality), and survivors
+are verified bit by bit.
 
 A bucket yields a spanning forest of its links, not all its pairs: small buckets pair by pair, larger ones by a search
-that removes what it has reached. A bucket above ``SPLIT`` fingerprints is first cut by five groups of the bits that its
-key does not cover; a link agrees in one of these, so nothing is lost.
+that removes what it has reached. A task holds ``SPLIT`` fingerprints of a bucket at most. It passes a larger bucket on,
+each member under five new keys, one for each of five groups of the bits that its keys do not cover; a link agrees in one
+of these, so nothing is lost. That goes on until no bucket is too large, as it must: each round fixes a fifth of the open
+bits, and twelve open bits have no more than SPLIT values.
 
 Nulls: a null or empty text has fingerprint zero and links like any other. Repeated rows share a fingerprint. With
 null ids the component id is the least id that is not null. An empty table gives an empty result.
@@ -25,14 +28,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import free, written
+from textloom.llm.common import free, sent, written
 from textloom.llm.components import components
+from textloom.llm.words import mix
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 WIDTHS = (9, 9, 9, 9, 9, 9, 10)
 BLOCKS, AGREE, PAIRWISE, SPLIT = len(WIDTHS), 3, 48, 4096
-PIVOTS = np.array([xxhash.xxh64_intdigest(f"pivot {i}", 1) for i in range(16)], np.uint64)
-SEND_ROWS = 2_000_000
+PIVOTS = np.array([xxhash.xxh64_intdigest(f"pivot {i}", 1) for i in range(8)], np.uint64)
+#: What a dropped row's key takes in memory at most.
+DROP_BYTES = 200
+KEYED = "u long, v long, key long, at long, mask long"
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -75,9 +81,24 @@ def bucket_keys(fp: F.Column) -> F.Column:
     return F.array(*out)
 
 
-def pivot_table(fps: np.ndarray) -> np.ndarray:
-    """Distances of each fingerprint to each pivot."""
-    return np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+def covered() -> np.ndarray:
+    """The bits that each of the 35 keys covers."""
+    at = np.concatenate([[0], np.cumsum(WIDTHS)]).tolist()
+    return np.array([sum(((1 << WIDTHS[i]) - 1) << at[i] for i in some) for some in combinations(range(BLOCKS), AGREE)], np.uint64)
+
+
+def pivot_distances(fp: F.Column) -> F.Column:
+    """Distances of a fingerprint to the pivots, a byte each."""
+    each = [F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("long"), 8 * i) for i, p in enumerate(PIVOTS.view(np.int64).tolist())]
+    out = each[0]
+    for e in each[1:]:
+        out = out.bitwiseOR(e)
+    return out
+
+
+def pivot_table(at: np.ndarray) -> np.ndarray:
+    """The same as rows of coordinates."""
+    return np.ascontiguousarray(at).view(np.int8).reshape(len(at), len(PIVOTS))
 
 
 def linked(fps: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -103,31 +124,42 @@ def _search(fps: np.ndarray, table: np.ndarray, members: np.ndarray) -> list[tup
     return out
 
 
-def _large(fps: np.ndarray, table: np.ndarray, members: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    if len(members) <= SPLIT:
-        return _search(fps, table, members)
-    differ = np.bitwise_or.reduce(fps[members] ^ fps[members[0]])
-    free = [b for b in range(64) if int(differ) >> b & 1]
-    out = []
-    for g in range(RADIUS + 1):
-        bits = np.uint64(sum(1 << b for b in free[g :: RADIUS + 1]))
-        part = fps[members] & bits
-        order = np.argsort(part, kind="stable")
-        for group in np.split(members[order], np.flatnonzero(np.diff(part[order])) + 1):
-            if len(group) > 1:
-                out += _search(fps, table, group)
-    return out
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # key, fingerprint, pivot distances, covered bits
 
 
-def bucket_links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of whole buckets; rows are sorted by key."""
+def _out(u: np.ndarray, v: np.ndarray | None = None, key: np.ndarray | None = None, at: np.ndarray | None = None, mask: np.ndarray | None = None) -> pa.RecordBatch:
+    columns = [pa.nulls(len(u), pa.int64()) if x is None else pa.array(x.view(np.int64)) for x in (u, v, key, at, mask)]
+    return pa.RecordBatch.from_arrays(columns, names=["u", "v", "key", "at", "mask"])
+
+
+def passed_on(rows: Rows) -> pa.RecordBatch:
+    """Each row under five new keys, by groups of the bits that its mask leaves open."""
+    key, fp, at, mask = (x.view(np.uint64) for x in rows)
+    out: list[tuple] = []
+    for m in np.unique(mask):
+        mine = np.flatnonzero(mask == m)
+        open_ = [b for b in range(64) if not int(m) >> b & 1]
+        for g in range(RADIUS + 1):
+            bits = np.uint64(sum(1 << b for b in open_[g :: RADIUS + 1]))
+            new = mix(key[mine] ^ mix((fp[mine] & bits) + np.uint64(g + 1)))
+            out.append((fp[mine], new, at[mine], np.full(len(mine), m | bits)))
+    fp, key, at, mask = (np.concatenate(x) for x in zip(*out, strict=True))
+    return _out(fp, None, key, at, mask)
+
+
+def bucket_links(rows: Rows) -> Iterator[pa.RecordBatch]:
+    """Spanning links of whole buckets, rows sorted by key; buckets above SPLIT are passed on."""
+    key = rows[0]
     begin = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1]) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(begin, len(key)))
-    many = np.repeat(size > 1, size)
-    key, fps = key[many], fp[many].view(np.uint64)
-    begin, size = begin[size > 1], size[size > 1]
-    begin = np.concatenate([[0], np.cumsum(size)])[:-1].astype(np.int64)
-    table = pivot_table(fps)
+    large = np.repeat(size > SPLIT, size)
+    if large.any():
+        yield passed_on(tuple(x[large] for x in rows))
+    some = (size > 1) & (size <= SPLIT)
+    many = np.repeat(some, size)
+    key, fps, table = key[many], rows[1][many].view(np.uint64), pivot_table(rows[2][many])
+    size = size[some]
+    begin = (np.cumsum(size) - size).astype(np.int64)
     found = []
     small = np.repeat(size <= PAIRWISE, size)
     for d in range(1, PAIRWISE):
@@ -137,38 +169,53 @@ def bucket_links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarra
         hit = a[linked(fps, table, a, a + d)]
         found.append((hit, hit + d))
     for at, n in zip(begin[size > PAIRWISE].tolist(), size[size > PAIRWISE].tolist(), strict=True):
-        found += _large(fps, table, np.arange(at, at + n))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return fps[np.concatenate([x for x, _ in found])].view(np.int64), fps[np.concatenate([x for _, x in found])].view(np.int64)
+        found += _search(fps, table, np.arange(at, at + n))
+    if found:
+        yield _out(fps[np.concatenate([x for x, _ in found])], fps[np.concatenate([x for _, x in found])])
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams rows sorted by key; the last bucket of a batch waits for the next one."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def flush(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        u, v = bucket_links(key, fp)
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
+    """Streams rows sorted by key; the last bucket of a batch waits for the next one, up to SPLIT rows of it."""
+    held: list[Rows] = []
+    over = None  # the bucket that is being passed on
+    joined = lambda parts: tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     for batch in batches:
-        key, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "fp"))
-        if not len(key):
+        rows: Rows = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "fp", "at", "mask"))
+        if over is not None:
+            n = int(np.searchsorted(rows[0], over, "right"))
+            if n:
+                yield passed_on(tuple(x[:n] for x in rows))
+            rows = tuple(x[n:] for x in rows)
+        if not len(rows[0]):
             continue
-        cut = int(np.searchsorted(key, key[-1], "left"))
-        if cut or held and held[-1][0][-1] != key[-1]:
-            held.append((key[:cut], fp[:cut]))
-            yield flush(np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held]))
+        over = None
+        cut = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+        if cut or held and held[-1][0][-1] != rows[0][-1]:
+            yield from bucket_links(joined([*held, tuple(x[:cut] for x in rows)]))
+            held = []
+        held.append(tuple(x[cut:] for x in rows))
+        if sum(len(h[0]) for h in held) > SPLIT:
+            over = held[-1][0][-1]
+            yield passed_on(joined(held))
             held = []
-        held.append((key[cut:], fp[cut:]))
     if held:
-        yield flush(np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held]))
+        yield from bucket_links(joined(held))
 
 
 def links(nodes: DataFrame) -> DataFrame:
     """Links (u, v) among distinct fingerprints ``fp`` that span each component; not every pair is listed."""
-    keyed = nodes.select("fp", F.explode(bucket_keys(F.col("fp"))).alias("key"))
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "u long, v long")
+    bits = F.array(*(F.lit(m) for m in covered().view(np.int64).tolist()))
+    rows = nodes.select("fp", pivot_distances(F.col("fp")).alias("at")).select("fp", "at", F.explode(bucket_keys(F.col("fp"))).alias("key"))
+    rows = rows.repartition("key").sortWithinPartitions("key").withColumn("mask", F.element_at(bits, (F.shiftright("key", 30) + 1).cast("int")))
+    found = None
+    while True:
+        out = written(rows.select("key", "fp", "at", "mask").mapInArrow(_links, KEYED), "simhash-links")
+        some = out.filter(F.col("v").isNotNull()).select("u", "v")
+        found = some if found is None else found.unionByName(some)
+        again = out.filter(F.col("key").isNotNull())
+        if again.isEmpty():
+            return found
+        rows = again.withColumnRenamed("u", "fp").repartition("key").sortWithinPartitions("key")
 
 
 def groups(found: DataFrame) -> DataFrame:
@@ -191,7 +238,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs without all but the first (by doc_id, then by the text's hash) of each component."""
     key = free(docs, "_d", "_h")
-    keyed = docs.withColumns({key[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), key[1]: F.xxhash64("text")})
+    keyed = docs.withColumns({key[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), key[1]: F.sha2(F.coalesce("text", F.lit("\x00")), 256)})
     found = written(fingerprints(keyed, tuple(key)).groupBy("fp", *key).agg(F.count(F.lit(1)).alias("n")), "simhash")
     root = written(groups(found), "simhash-roots")
     ids = found.groupBy("fp").agg(F.min(F.struct(*key)).alias("least"))
@@ -199,10 +246,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     named = written(root.join(least, "root").select("fp", "least"), "simhash-named")
     rated = found.join(named, "fp").select(*key, "n", (F.struct(*key) == F.col("least")).alias("first"))
     drop = written(rated.filter(~F.col("first") | (F.col("n") > 1)).select(*key, (F.col("first") & (F.col("n") > 1)).alias("again")), "simhash-drop")
-    n, again = drop.agg(F.count(F.lit(1)), F.count_if("again")).first()
-    sent = F.broadcast(drop) if n <= SEND_ROWS else drop
-    out = keyed.join(sent, key, "left_anti")
-    if again:
-        twice = drop.filter("again").select(*key)
-        out = out.unionByName(keyed.join(F.broadcast(twice) if again <= SEND_ROWS else twice, key, "left_semi").dropDuplicates(key))
+    out = keyed.join(sent(drop, DROP_BYTES), key, "left_anti")
+    twice = drop.filter("again").select(*key)
+    if not twice.isEmpty():
+        out = out.unionByName(keyed.join(sent(twice, DROP_BYTES), key, "left_semi").dropDuplicates(key))
     return out.select(*docs.columns)
