@@ -56,12 +56,13 @@ def brute(docs):
         if f == 3:
             for i, x in enumerate(grams(t)[0]):
                 b, p = looked_up(i, x, 1)
-                events.setdefault(b, Counter())[tuple(lm._octaves(np.array(p)).tolist())] += 1
+                q, place = lm._octaves(np.array(p))
+                events.setdefault(b, {}).setdefault(tuple(q.tolist()), []).append(place)
     weights = {}
     for b, hist in events.items():
         rows = sorted(hist)
-        p = np.array([[2.0 ** (-x / lm.STEP) if x >= 0 else 0.0 for x in q] + [1 / (v_left + 1)] for q in rows])
-        weights[b] = lm.mix_weights(p, np.array([hist[q] for q in rows], float))
+        p = np.array([[2.0**-x * m / lm.GRID if x >= 0 else 0.0 for x, m in zip(q, np.mean(hist[q], axis=0), strict=True)] + [1 / (v_left + 1)] for q in rows])
+        weights[b] = lm.mix_weights(p, np.array([len(hist[q]) for q in rows], float))
     table = {}
     for b in range(128):
         last = np.array(weights.get(b, table[b - 1] if b % 64 else [0.0, 0.0, 0.9, 0.1] if b == 0 else [0.3, 0.3, 0.3, 0.1]))

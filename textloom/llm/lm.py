@@ -13,8 +13,9 @@ of the context's frequency (a power of two). Frequencies count the text at hand:
 them, for a held-out text one is added. The bucket is that of u v from a frequency of two on, else, where only the text
 itself has u v, that of v. Weights are learned by expectation-maximisation on deleted counts: training documents of one
 fold of the checksum are taken out of the counts, and predicted from the rest in the buckets that they have with all. So a
-context that only one text has says nothing about the next word, however surely it seems to. For that their events are summed in a histogram of (bucket, p3, p2, p1) with ``STEP`` steps to
-an octave; all of them count, and the histogram is bounded. The score then uses the counts of all training documents.
+context that only one text has says nothing about the next word, however surely it seems to. For that their events are
+summed in a histogram of bucket and the octaves of p3, p2 and p1, with the mean of each ratio: all of them count, and the
+histogram is bounded. The score then uses the counts of all training documents.
 
 A text is its lower-cased (A-Z) words and one end; the end also stands, twice, before the first word as its context.
 Nulls: a null text is empty; a null doc_id has the checksum of the empty string and is training. Repeated rows count each.
@@ -43,7 +44,9 @@ from textloom.llm import words as W
 from textloom.llm.common import new_path
 from textloom.llm.records import filesystem
 
-MODULUS, HELD_OUT, DELETED, BLOCK, RANGE_BYTES, STEP, EM_ROUNDS = 7, 2, 3, 1 << 20, 16 << 20, 4, 60
+MODULUS, HELD_OUT, DELETED, BLOCK, RANGE_BYTES, EM_ROUNDS = 7, 2, 3, 1 << 20, 16 << 20, 60
+#: Octaves that ratios are told apart by, and the grid of their place in an octave.
+OCTAVES, GRID = 60, 1 << 20
 #: Bits of the keys of words, pairs and triples.
 BITS = (64, 56, 56)
 #: Buckets of contexts of one word come first, then those of two.
@@ -244,8 +247,10 @@ class Answers:
         return found[:3], found[3:]
 
 
-def _octaves(p: np.ndarray) -> np.ndarray:
-    return np.where(p > 0, np.minimum(np.round(-np.log2(np.maximum(p, 1e-30)) * STEP), 60 * STEP), -1).astype(np.int64)
+def _octaves(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The octave below 1 that a ratio lies in (-1 for none), and its place in it as an integer."""
+    q = np.where(p > 0, np.minimum(np.round(-np.log2(np.maximum(p, 1e-30))), OCTAVES), -1).astype(np.int64)
+    return q, np.round(p * np.exp2(q) * GRID * (q >= 0)).astype(np.int64)
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
@@ -253,7 +258,7 @@ def bucket_of(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.floor(np.log2(np.maximum(context, 1))).astype(np.int64) + 1, 0)
 
 
-EVENTS = "b long, q3 long, q2 long, q1 long, count long"
+EVENTS = "b long, q3 long, q2 long, q1 long, count long, s3 long, s2 long, s1 long"
 
 
 def _events(batches: Iterator[pa.RecordBatch], block: int, folder: str, n: int) -> Iterator[pa.RecordBatch]:
@@ -263,11 +268,14 @@ def _events(batches: Iterator[pa.RecordBatch], block: int, folder: str, n: int)
         answers = answers or Answers(folder, TaskContext.get().partitionId())
         total, gone = answers.of(b)
         some = np.flatnonzero(np.repeat(b.fold, np.diff(b.first)) == DELETED)
-        code = b.buckets(total, 0, some)  # one number for each row of the histogram: quotients have less than 256 values
+        code, places = b.buckets(total, 0, some), []  # one number for each row of the histogram
         for p in b.ratios([t - g for t, g in zip(total, gone, strict=True)], n, some):
-            code = code << 8 | _octaves(p) + 1
-        keys, count = np.unique(code, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys >> 24), *(pa.array((keys >> k & 255) - 1) for k in (16, 8, 0)), pa.array(count)], names=["b", "q3", "q2", "q1", "count"])
+            q, place = _octaves(p)
+            code = code << 8 | q + 1
+            places.append(place)
+        keys, at, count = np.unique(code, return_inverse=True, return_counts=True)
+        sums = [np.bincount(at, x, len(keys)).astype(np.int64) for x in places]  # whole numbers below 2^53
+        yield pa.RecordBatch.from_arrays([pa.array(keys >> 24), *(pa.array((keys >> k & 255) - 1) for k in (16, 8, 0)), pa.array(count), *map(pa.array, sums)], names=["b", "q3", "q2", "q1", "count", "s3", "s2", "s1"])
 
 
 def mix_weights(p: np.ndarray, count: np.ndarray, rounds: int = EM_ROUNDS) -> np.ndarray:
@@ -286,9 +294,10 @@ def learn(events: DataFrame, v: int) -> DataFrame:
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         q = rows.sort_values(["q3", "q2", "q1"])
+        count = q["count"].to_numpy(np.float64)
         x = q[["q3", "q2", "q1"]].to_numpy()
-        p = np.where(x >= 0, 2.0 ** (-x / STEP), 0.0)
-        w = mix_weights(np.column_stack([p, np.full(len(p), 1.0 / (v + 1))]), q["count"].to_numpy(np.float64))
+        p = np.where(x >= 0, np.exp2(-x) * q[["s3", "s2", "s1"]].to_numpy() / (count[:, None] * GRID), 0.0)
+        w = mix_weights(np.column_stack([p, np.full(len(p), 1.0 / (v + 1))]), count)
         return pd.DataFrame({"b": rows["b"].iloc[:1], **{f"l{3 - i}": w[i] for i in range(4)}})
 
     return events.groupBy("b").applyInPandas(fit, "b long, l3 double, l2 double, l1 double, l0 double")
@@ -337,6 +346,6 @@ def score(docs: DataFrame, block: int = BLOCK, ranges: int | None = None) -> Dat
     answers = spark.read.schema(ANSWER).parquet(folder)
     n, v, n_del, v_left = (int(x or 0) for x in answers.agg(*(F.sum(k) for k in ("n", "v", "n_del", "v_left"))).first())
     events = docs.mapInArrow(lambda it: _events(it, block, folder, n - n_del), EVENTS)
-    learned = learn(events.groupBy("b", "q3", "q2", "q1").agg(F.sum("count").alias("count")), v_left)
+    learned = learn(events.groupBy("b", "q3", "q2", "q1").agg(*(F.sum(k).alias(k) for k in ("count", "s3", "s2", "s1"))), v_left)
     table = weight_table({r.b: (r.l3, r.l2, r.l1, r.l0) for r in learned.collect()})  # one row for each power of two
     return docs.mapInArrow(lambda it: _scores(it, block, folder, n, v, table), SCORE)
