@@ -342,7 +342,8 @@ def score(docs: DataFrame, block: int = BLOCK, ranges: int | None = None) -> Dat
     cells = docs.mapInArrow(lambda it: _cells(it, ranges, block), CELL)
     # a kind's range is a partition of its own
     totals = cells.repartitionById(3 * ranges, F.col("kind") * ranges + F.col("bucket")).sortWithinPartitions("kind", "bucket", "block").mapInArrow(_totals, ANSWER)
-    totals.repartition("home").sortWithinPartitions("home", "block", "kind", "bucket").write.partitionBy("home").parquet(folder)
+    # homes are dealt in turn, so a task's share does not hang on hashes or on the set number of shuffle partitions
+    totals.repartitionById(ranges, F.col("home")).sortWithinPartitions("home", "block", "kind", "bucket").write.partitionBy("home").parquet(folder)
     answers = spark.read.schema(ANSWER).parquet(folder)
     n, v, n_del, v_left = (int(x or 0) for x in answers.agg(*(F.sum(k) for k in ("n", "v", "n_del", "v_left"))).first())
     events = docs.mapInArrow(lambda it: _events(it, block, folder, n - n_del), EVENTS)
