@@ -22,7 +22,7 @@ TITLE = r"(?is)<title\b[^>]*>(.*?)</title>"
 OG_TITLE = r"""(?is)<meta\b[^>]*\bproperty\s*=\s*["']og:title["'][^>]*\bcontent\s*=\s*["']([^"']*)["']"""
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
 
-PAGE = "struct<h1:string,title:string,og_title:string,lines:array<string>,blocks:array<struct<container:int,tag:string,text:string>>>"
+PAGE = "struct<h1:string,title:string,og_title:string,lines:array<string>,blocks:array<struct<container:int,tag:string,text:string,linked:int>>>"
 DEFAULT_CONTAINERS = ("article", "main article", "div.post-content", "div.entry-content", "main")
 _BLOCK = frozenset("address article aside blockquote body br dd details div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -99,7 +99,7 @@ class _Page(HTMLParser):
         self.open: list[tuple[str, dict, list[int]]] = []
         self.seen: set[int] = set()
         self.lines: list[str] = []
-        self.units: list[list] = []  # tag, containers, parts
+        self.units: list[list] = []  # tag, containers, parts, characters in links
         self.unit: list[int] = []  # open units, as indexes
         self.first: dict[str, list[str]] = {}
         self.inside: str | None = None
@@ -131,7 +131,7 @@ class _Page(HTMLParser):
         self.open.append((tag, a, new))
         if tag in _UNITS:
             self.unit.append(len(self.units))
-            self.units.append([tag, [n for _, _, ns in self.open for n in ns], []])
+            self.units.append([tag, [n for _, _, ns in self.open for n in ns], [], 0])
         if tag in ("h1", "title") and tag not in self.first:
             self.first[tag], self.inside = [], tag
 
@@ -156,7 +156,10 @@ class _Page(HTMLParser):
         if self.inside:
             self.first[self.inside].append(s)
         if self.unit:
-            self.units[self.unit[-1]][2].append(s)
+            unit = self.units[self.unit[-1]]
+            unit[2].append(s)
+            if any(t == "a" for t, _, _ in self.open):
+                unit[3] += len(s)
 
 
 def parse(page: str | None, containers: Sequence[str] = DEFAULT_CONTAINERS) -> dict:
@@ -164,7 +167,7 @@ def parse(page: str | None, containers: Sequence[str] = DEFAULT_CONTAINERS) -> d
     p = _Page(containers)
     p.feed(page or "")
     p.close()
-    blocks = [{"container": c, "tag": tag, "text": " ".join(parts)} for tag, inside, parts in p.units if parts for c in (-1, *inside)]
+    blocks = [{"container": c, "tag": tag, "text": " ".join(parts), "linked": linked} for tag, inside, parts, linked in p.units if parts for c in (-1, *inside)]
     return {"h1": " ".join(p.first["h1"]) if "h1" in p.first else None, "title": " ".join(p.first["title"]) if "title" in p.first else None, "og_title": p.og, "lines": p.lines, "blocks": blocks}
 
 
@@ -200,6 +203,18 @@ def by_length(page: Column, containers: int, rules: Rules, tags: Sequence[str] =
     return F.coalesce(F.nullif(best, F.lit("")), clean(page["lines"]))
 
 
+def main_text(page: Column, containers: int, rules: Rules) -> Column:
+    """Cleaned main text, chosen for precision: paragraphs and quotations of the first container that has any, else of the page.
+
+    Blocks that are links by half or more fall out, and a paragraph that comes again counts once.
+    """
+    solid = lambda n: F.filter(page["blocks"], lambda b: (b["container"] == n) & b["tag"].isin("p", "blockquote") & (2 * b["linked"] < F.length(b["text"])))
+    blocks = solid(-1)
+    for n in range(containers - 1, -1, -1):
+        blocks = F.when(F.size(solid(n)) > 0, solid(n)).otherwise(blocks)
+    return text.site_clean(F.array_join(F.array_distinct(F.transform(blocks, lambda b: b["text"])), "\n"), rules)
+
+
 def after_title(lines: Column, heading: Column, stop: Sequence[str] = (), date: Column | None = None, agency: str | None = None, last: bool = False) -> Column:
     """The lines after the one that equals the heading, up to a stop prefix, without a leading date and agency line; null without such a line."""
     at = F.array_position(lines, heading)
@@ -219,13 +234,35 @@ def with_fallback(main: Column, fallback: Column, below: int = 1) -> Column:
     return F.when(F.length(F.coalesce(main, F.lit(""))) < below, F.coalesce(fallback, F.lit(""))).otherwise(main)
 
 
-def articles(pages: DataFrame, source: str, containers: Sequence[str] = DEFAULT_CONTAINERS, rules: Rules | None = None, paragraph: int = 35, least: int = 200, names: Sequence[str] = (), pick: str = "priority") -> DataFrame:
-    """ARTICLE rows of pages (url, html): parsed once; pages without a title or with less text than ``least`` fall out."""
+def extracted(
+    pages: DataFrame, source: str, containers: Sequence[str] = DEFAULT_CONTAINERS, rules: Rules | None = None, paragraph: int = 35, least: int = 200, names: Sequence[str] = (), pick: str = "priority", date_form: str | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """ARTICLE columns of every page (url, html), each parsed once, whatever it gives; columns in ``keep`` come along.
+
+    ``pick`` is "priority" (paragraphs of so many characters in the first container), "length" (the longest container), or
+    "main" (the main text, and where that is shorter than ``least`` what "priority" gives). ``date_form`` is looked for in
+    the page's text where its metadata and address give no date.
+    """
     rules, n = rules or Rules(), len(containers)
     page = F.col("_page")
-    body = by_length(page, n, rules) if pick == "length" else text.site_clean(F.array_join(by_priority(page, n, least=paragraph), "\n"), rules)
+    by_rank = text.site_clean(F.array_join(by_priority(page, n, least=paragraph), "\n"), rules)
+    if pick not in ("priority", "length", "main"):
+        raise ValueError("pick is priority, length or main")
+    body = by_length(page, n, rules) if pick == "length" else with_fallback(main_text(page, n, rules), by_rank, least) if pick == "main" else by_rank
     heading = F.coalesce(*(F.nullif(without_suffix(page[k], names), F.lit("")) for k in ("og_title", "h1", "title")), F.lit(""))
-    out = pages.select("url", "html", parsed("html", containers).alias("_page")).select(
-        F.lit(source).alias("source"), heading.alias("title"), F.nullif(dates.published("html", F.array_join(page["lines"], "\n"), "url"), F.lit("")).alias("published_at"), "url", body.alias("text")
-    )
-    return out.filter((F.col("title") != "") & (F.col("text") != "") & (F.length("text") >= least))
+    lines = F.array_join(page["lines"], "\n")
+    published = F.nullif(dates.published("html", lines, "url"), F.lit(""))
+    if date_form:
+        published = F.coalesce(published, dates.in_text(lines, date_form))
+    return pages.select("url", "html", *keep, parsed("html", containers).alias("_page")).select(F.lit(source).alias("source"), heading.alias("title"), published.alias("published_at"), "url", body.alias("text"), *keep)
+
+
+def refused(least: int) -> Column:
+    """Why an extracted row is no article, null if it is one."""
+    body = F.coalesce("text", F.lit(""))
+    return F.when(F.coalesce("title", F.lit("")) == "", F.lit("no title")).when(body == "", F.lit("no text")).when(F.length(body) < least, F.concat(F.lit("text under "), F.lit(least), F.lit(" characters")))
+
+
+def articles(pages: DataFrame, source: str, least: int = 200, **how) -> DataFrame:
+    """ARTICLE rows of pages (url, html); pages without a title or with less text than ``least`` fall out. See ``extracted``."""
+    return extracted(pages, source, least=least, **how).filter(refused(least).isNull())

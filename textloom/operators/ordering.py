@@ -18,15 +18,15 @@ def first_occurrence(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -
     return out.select(*(F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns))
 
 
-def new_per_page(links: DataFrame, page: str = "page_no", pos: str = "pos", url: str = "url") -> DataFrame:
-    """(page, new_count): how many addresses a page shows for the first time; pages without any count 0."""
+def new_per_page(links: DataFrame, page: str = "page_no", pos: str = "pos", url: str = "url", pages: DataFrame | None = None) -> DataFrame:
+    """(page_no, new_count): how many addresses a page shows for the first time. ``pages`` lists pages that may show none; without it only those in ``links`` are known."""
     first = links.groupBy(url).agg(F.min(F.struct(page, pos)).alias("f")).groupBy(F.col(f"f.{page}").alias(page)).agg(F.count(F.lit(1)).alias("n"))
-    return links.select(page).distinct().join(first, page, "left").select(page, F.coalesce("n", F.lit(0)).cast("long").alias("new_count"))
+    return (links if pages is None else pages).select(page).distinct().join(first, page, "left").select(page, F.coalesce("n", F.lit(0)).cast("long").alias("new_count"))
 
 
-def until_nothing_new(links: DataFrame, page: str = "page_no", pos: str = "pos", url: str = "url", max_pages: int | None = None) -> DataFrame:
+def until_nothing_new(links: DataFrame, page: str = "page_no", pos: str = "pos", url: str = "url", max_pages: int | None = None, pages: DataFrame | None = None) -> DataFrame:
     """Links of the pages before the first that shows nothing new (or beyond a page cap), first occurrences only."""
-    counts = new_per_page(links, page, pos, url)
+    counts = new_per_page(links, page, pos, url, pages)
     stop = counts.filter(F.col("new_count") == 0).agg(F.min(page).alias("stop"))  # one row
     kept = links.join(F.broadcast(stop), F.col("stop").isNull() | (F.col(page) < F.col("stop"))).drop("stop")
     if max_pages is not None:

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from textloom.functions import dates, pages, text, urls
 from textloom.functions.text import Rules
 from textloom.operators import annotate, chat, crawl, ordering, qa
-from textloom.plans import pipelines
+from textloom.plans import crawls, pipelines
+from textloom.sources import files, sitemap
+from textloom.tables import new_path
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -139,7 +141,8 @@ def site_rules(spark, d):
     return read(spark, d, "documents").select("doc_id", text.site_clean(given, _RULES).alias("clean"))
 
 
-@query()
+# letters of the tables are composed already, so beside the constant only blanks and line feeds change
+@query(rf"SELECT doc_id, 'fi 1⁄2 ... Å' || chr(10) || trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '[ \t]*\n[ \t]*', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), {_WS}) AS clean FROM documents")
 def nfkc(spark, d):
     return read(spark, d, "documents").select("doc_id", text.normalise(F.concat(F.lit("ﬁ ½ … Å​\r\n"), "text")).alias("clean"))
 
@@ -254,18 +257,112 @@ def page_title_chain(spark, d):
     return _stored(spark, d).select("page_id", pages.title(F.replace("html", F.lit("</h1"), F.lit(" | Site x</h1")), ["Site"]).alias("title"))
 
 
-@query()
+def _decoded(x: str) -> str:
+    for name, char in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&middot;", "'·'"), ("&copy;", "'©'")):
+        x = f"replace({x}, '{name}', {char})"
+    return f"regexp_replace({x}, '&amp;?', '&', 'g')"
+
+
+def _compacted(x: str) -> str:
+    return f"array_to_string(list_filter(list_transform(string_split({x}, chr(10)), lambda y: trim(y, {_WS})), lambda y: y <> ''), chr(10))"
+
+
+# the tables' articles have a heading and paragraphs, some of them bold and ended by a break only
+_ARTICLE = f"""a AS (SELECT page_id, url, html, trim({_decoded("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")}, {_WS}) AS title,
+list_transform(string_split(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<p>')[2:], lambda x: trim({_decoded("split_part(split_part(replace(x, '<b>', ''), '</p>', 1), '<br>', 1)")}, {_WS})) AS ps FROM pages)"""
+_BODY = _compacted("array_to_string(list_filter(ps, lambda x: length(x) >= 35), chr(10))")
+_WHOLE = _compacted("array_to_string(ps, chr(10))")
+
+
+@query(f"WITH {_ARTICLE}, t AS (SELECT *, {_BODY} AS text FROM a) SELECT 'stored' AS source, title, NULL::VARCHAR AS published_at, url, text FROM t WHERE title <> '' AND length(text) >= 200")
 def html_text(spark, d):
     return pipelines.scrape(_stored(spark, d), pipelines.Site("stored", r"https?://"))
 
 
-@query()
+_LINES = f"string_split({_compacted(_decoded(chr(39).join(['regexp_replace(regexp_replace(html, ', '(?s)<!--.*?-->|<(style|script)>.*?</(style|script)>', ', chr(10), ', 'g', '), ', '<[^>]*>', ', chr(10), ', 'g', ')'])))}, chr(10))"
+
+
+@query(
+    f"""WITH {_ARTICLE}, l AS (SELECT page_id, title, length({_WHOLE}) AS n, {_LINES} AS ls FROM a),
+k AS (SELECT *, list_position(list_reverse(ls), title) AS back FROM l)
+SELECT page_id, n::INTEGER AS n, CASE WHEN back > 0 THEN array_to_string(ls[len(ls) - back + 2:], chr(10)) END AS body FROM k"""
+)
 def html_longest(spark, d):
     page = F.col("p")
     parsed = _stored(spark, d).select("page_id", pages.parsed("html").alias("p"))
     return parsed.select("page_id", F.length(pages.by_length(page, len(pages.DEFAULT_CONTAINERS), Rules())).alias("n"), pages.after_title(page["lines"], page["h1"], last=True).alias("body"))
 
 
+_MAIN = _compacted("array_to_string(list_filter(ps, lambda x, i: list_position(ps, x) = i), chr(10))")
+
+
+@query(
+    f"""WITH {_ARTICLE}, t AS (SELECT url, title, {_MAIN} AS main, {_BODY} AS body FROM a), r AS (SELECT url, title, CASE WHEN length(main) < 200 THEN body ELSE main END AS text FROM t)
+SELECT url, title, sha256(text) AS h, CASE WHEN title = '' THEN 'no title' WHEN text = '' THEN 'no text' WHEN length(text) < 200 THEN 'text under 200 characters' END AS error FROM r
+UNION ALL SELECT url || '/gone', '', sha256(''), 'RuntimeError: HTTP 404' FROM pages"""
+)
+def crawl_collected(spark, d):
+    """Every stored page and as many addresses that are not there, fetched from the table and extracted by main text with its fallback."""
+    there = _stored(spark, d)
+    addresses = there.select("url").unionByName(there.select(F.concat("url", F.lit("/gone")).alias("url")))
+    found = crawls.collected(addresses, crawls.stored(there), pipelines.Site("stored", r"https?://", pick="main"))
+    return found.select("url", "title", F.sha2("text", 256).alias("h"), "error")
+
+
+_SHOWN = f"""p AS (SELECT page_id + 1 AS page_no, page_id, html FROM pages), a AS (SELECT page_no, generate_subscripts(h, 1)::INTEGER - 1 AS pos, unnest(h) AS href FROM (SELECT page_no, {_HREFS} AS h FROM p)),
+r AS (SELECT page_no, pos, 'https://site.example.org' || trim(split_part(replace(href, '&amp;', '&'), '#', 1), {_WS}) AS url FROM a WHERE starts_with(href, '/')),
+f AS (SELECT url, min(struct_pack(page_no := page_no, pos := pos)) AS f FROM r GROUP BY url), n AS (SELECT f.page_no AS page_no, count(*) AS n FROM f GROUP BY 1),
+s AS (SELECT coalesce(min(page_no), 1000000000) AS stop FROM p LEFT JOIN n USING (page_no) WHERE n IS NULL)"""
+
+
+@query(f"WITH {_SHOWN} SELECT f.page_no AS page_no, f.pos AS pos, url FROM f, s WHERE f.page_no < stop ORDER BY 1, 2 LIMIT 120")
+def crawl_listings(spark, d):
+    """The pages as listing pages of one site, fetched in blocks until one shows nothing new or 120 addresses are found."""
+    rows = _stored(spark, d).withColumn("url", F.concat(F.lit("https://site.example.org/list?page="), F.col("page_id") + 1))
+    listings = rows.select((F.col("page_id") + 1).alias("page_no"), "url")
+    return crawls.from_listings(listings, crawls.stored(rows), pipelines.Site("stored", r"https://site\.example\.org/"), 120, max_pages=1_000_000_000, block=25)
+
+
+@query(f"SELECT page_id, 0::BIGINT AS ord, trim(url, {_WS}) AS loc, CASE WHEN page_id % 3 <> 0 THEN '2024-01-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') END AS lastmod FROM pages")
+def sitemap_xml(spark, d):
+    """Each page's address as a sitemap of its own: namespaces, comments, references and entries without a date or address."""
+    day = F.when(F.col("page_id") % 3 != 0, F.format_string("<s:lastmod> 2024-01-%02d\n</s:lastmod>", F.col("page_id") % 28 + 1)).otherwise(F.lit(""))
+    loc = F.concat(F.lit("<s:loc>\n "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </s:loc>"))
+    xml = F.concat(F.lit("<s:urlset xmlns:s='x'><!-- <s:url><s:loc>no</s:loc></s:url> --><s:url>"), loc, day, F.lit("</s:url><s:url><s:lastmod>2024</s:lastmod></s:url></s:urlset>"))
+    found = sitemap.entries(_stored(spark, d).select(F.col("page_id").alias("url"), xml.alias("xml")))
+    return found.withColumnRenamed("url", "page_id")
+
+
+@query("SELECT source, lang AS title, NULL::VARCHAR AS published_at, doc_id::VARCHAR AS url, text FROM documents")
+def csv_articles(spark, d):
+    """Articles written as CSV and read back; texts hold line feeds and quotes."""
+    path = new_path(spark, "articles")
+    docs = read(spark, d, "documents").select(F.col("lang").alias("title"), "source", "text", F.col("doc_id").cast("string").alias("url"))
+    files.write_articles_csv(docs, path)
+    return files.read_articles_csv(spark, path)
+
+
+@query("SELECT conv_id, turn, role, sha256(text) AS h FROM conversations")
+def json_framings(spark, d):
+    """Turns written as JSON Lines by one role and as objects between commas by the others, read back by the reader of any framing."""
+    turns, lines_, commas = read(spark, d, "conversations"), new_path(spark, "lines"), new_path(spark, "commas")
+    asks = F.col("role") == "user"
+    files.write_jsonl(turns.filter(asks), lines_)
+    turns.filter(~asks).select(F.concat(F.to_json(F.struct(*turns.columns), {"pretty": "true"}), F.lit(" ,"))).write.text(commas)
+    got = files.read_json_objects(spark, lines_).unionByName(files.read_json_objects(spark, commas))
+    return got.select(F.from_json("obj", turns.schema).alias("t")).select("t.conv_id", "t.turn", "t.role", F.sha2("t.text", 256).alias("h"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%-d %B %Y, %-H:%M') WHEN 1 THEN day(ts) || ' ' || ['січня','лютого','березня','квітня','травня','червня','липня','серпня','вересня','жовтня','листопада','грудня'][month(ts)] || strftime(ts, ' %Y, %H:%M') ELSE strftime(ts, '%-d %B, %Y, %-I:%M %p') || ' EET' END AS said FROM events")
+def dates_in_text(spark, d):
+    """Dates in three written forms, found in running text."""
+    ts, k = F.col("ts"), F.col("event_id") % 3
+    month = F.element_at(F.array(*map(F.lit, dates.CYRILLIC_MONTHS.split("|"))), F.month(ts))
+    said = F.when(k == 0, F.date_format(ts, "d MMMM yyyy, H:mm")).when(k == 1, F.concat(F.dayofmonth(ts), F.lit(" "), month, F.date_format(ts, " yyyy, HH:mm"))).otherwise(F.concat(F.date_format(ts, "d MMMM, yyyy, h:mm a"), F.lit(" EET")))
+    line = F.concat(F.lit("Seen 7 times. "), said, F.lit(" | more"))
+    return read(spark, d, "events").select("event_id", F.coalesce(*(dates.in_text(line, p) for p in (dates.DAY_MONTH, dates.DAY_MONTH_CYRILLIC, dates.ZONED))).alias("said"))
+
+
 @query(
     f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN '2024-05-0' || (page_id % 9 + 1) || 'T10:00:00' WHEN 1 THEN '2023-03-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0')
 WHEN 2 THEN '2022-06-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') || ' 9:05' ELSE '' END AS published_at FROM pages"""
@@ -366,7 +463,11 @@ def training_text(spark, d):
     return pipelines.training_text(qa.pairs_of_turns(read(spark, d, "conversations"))).select("text")
 
 
-@query()
+@query(
+    f"""WITH d AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS row_no, trim(regexp_replace(trim(text, {_WS}), '\\n{{3,}}', chr(10) || chr(10), 'g'), {_WS}) AS t FROM documents)
+SELECT doc_id::VARCHAR AS url, source, 1 AS n_pairs, 'What does ' || lang || ' say?' AS question, CASE WHEN strpos(t, chr(10)) BETWEEN 1 AND 12000 THEN split_part(t, chr(10), 1) ELSE left(t, 12000) END AS answer, NULL::VARCHAR AS error FROM d WHERE t <> ''"""
+)
 def annotate_offline(spark, d):
     docs = ordering.numbered(read(spark, d, "documents"), "doc_id").select("row_no", "source", F.col("lang").alias("title"), F.lit("").alias("published_at"), F.col("doc_id").cast("string").alias("url"), "text")
-    return pipelines.annotated(docs, annotate.OfflineProvider, start_row=1)
+    pair = F.get("pairs", 0)
+    return pipelines.annotated(docs, annotate.OfflineProvider, start_row=1).select("url", "source", F.size("pairs").alias("n_pairs"), pair["question"].alias("question"), pair["answer"].alias("answer"), "error")
