@@ -57,6 +57,31 @@ def test_streaming_commits_early_and_gives_the_same_ids():
     assert len(parts) > 20 and max(sum(map(len, p)) for p in parts) < 200
 
 
+def test_lock_step_streams_stretches_of_any_length(monkeypatch):
+    own, rng = V.encoder(PATH), random.Random(5)
+    words = "the quick brown fox thequick 日本語 straße naïve 0123 ...... aaaa éé".split()
+    texts = ["".join(rng.choice(words) for _ in range(n)) for n in (1, 40, 60, 64, 200, 3000)] + ["ab" * n for n in (127, 128, 129, 5000)] + ["日本" * 700]
+    windows = []
+    search = V.LockStep._search
+    monkeypatch.setattr(V.LockStep, "_search", lambda self, texts, *more: windows.extend(map(len, texts)) or search(self, texts, *more))
+    for size, few in ((16, 0), (16, 5), (V.WINDOW, 0), (V.WINDOW, V.FEW), (1 << 20, 0)):
+        monkeypatch.setattr(V, "WINDOW", size)
+        monkeypatch.setattr(V, "FEW", few)
+        windows.clear()
+        found = own.steps.search([(V.MARK + t).encode() for t in texts])
+        assert all(f is not None for f in found) and found == [LIBRARY.encode(t) for t in texts]
+        assert size > 1 << 16 or max(windows) <= max(4 * size, 600)
+
+
+def test_one_very_long_text_without_white_space(spark):
+    text = "thequickbrownfox,日本語" * 12_000
+    docs = spark.createDataFrame([(1, text, 0), (2, "x", 0)], "doc_id long, text string, ids long")
+    got = {r.doc_id: r for r in V.digests(docs).collect()}
+    ids = LIBRARY.encode(text)
+    assert got[1].n_tokens == len(ids) and got[1].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) and got[1].same
+    assert got[2].n_tokens == len(LIBRARY.encode("x"))
+
+
 def model(tmp_path, pieces, fallback=False, tidy=False):
     proto = M.ModelProto()
     kinds = M.ModelProto.SentencePiece

@@ -12,8 +12,11 @@ the window before it is dropped: a text of any length needs no more than its lon
   BPE model, which are merge ranks, would not.)
 
 Where no piece holds white space after another character, paths always meet before a run of white space; texts are cut
-there first, and a stretch that a worker has seen before is looked up. Characters without a piece become their bytes'
-ids, or the unknown id. Models that change texts first (normalisation rules) are run on the library's normalised text.
+there first, and a stretch that a worker has seen before is looked up. The stretches of a BPE model are searched in lock
+step: each has a window of its own, is extended by ``WINDOW`` bytes a round, and commits where its paths meet.
+Where only a few windows are left to fill a step, the same search goes on from their boundaries a character at a time.
+Characters without a piece become their bytes' ids, or the unknown id; a stretch that holds one is searched so too.
+Models that change texts first (normalisation rules) are run on the library's normalised text.
 
 Nulls and empty texts have no ids and decode to an empty text. U+2581 stands for a space in the model's alphabet, so it
 decodes to one. Repeated rows are encoded each. An empty table gives an empty result.
@@ -35,9 +38,9 @@ from textloom.llm.pieces import PieceEncoder, public_path
 from textloom.llm.tables import Table, Trie
 
 MARK = "▁"
-#: Bytes of a stretch that is searched in step with others; log probability taken off for an unknown character; pairs of
-#: pieces whose fit is kept.
-SHORT, UNKNOWN_PENALTY, MOST_FITS = 256, 10.0, 1_000_000
+#: Bytes by which a window grows in a round; windows below which a step in numpy takes longer than one for each; log probability taken off for an unknown character; pairs of pieces whose fit
+#: is kept.
+WINDOW, FEW, UNKNOWN_PENALTY, MOST_FITS = 256, 10, 10.0, 1_000_000
 SPACE = np.zeros(256, bool)
 SPACE[32] = True
 DIGEST = "n_tokens long, ids_crc32 long, text_sha256 string, n_chars long, same boolean"
@@ -88,8 +91,8 @@ class Lattice:
             else:
                 j += 1
 
-    def _extend_bpe(self, text: str, last: list[str]) -> None:
-        """Adds to last, for each further boundary of text, the one admissible piece that ends there."""
+    def _extend_bpe(self, text: str, last: list[str | None]) -> None:
+        """Adds to last, for each further boundary of text, the one admissible piece that ends there; None if its path left the committed one earlier."""
         longest, usable, fits = self.longest, self.usable, self.fits
         for end in range(len(last), len(text) + 1):
             for begin in range(end - longest if end > longest else 0, end):
@@ -97,6 +100,8 @@ class Lattice:
                 if piece not in usable and begin < end - 1:
                     continue
                 before = last[begin]
+                if before is None:
+                    continue
                 if not before:
                     break
                 key = (before, piece)
@@ -108,7 +113,7 @@ class Lattice:
                 if fit:
                     break
             else:
-                raise AssertionError("no admissible piece")
+                piece = None
             last.append(piece)
 
     def _extend_unigram(self, text: str, last: list[str], total: list[float]) -> None:
@@ -127,10 +132,10 @@ class Lattice:
             last.append(found)
             total.append(best)
 
-    def stream(self, chunks: Iterable[str]) -> Iterator[list[str]]:
-        """Pieces of a text that comes in chunks, as they become final."""
+    def stream(self, chunks: Iterable[str], before: str = "") -> Iterator[list[str]]:
+        """Pieces of a text that comes in chunks, as they become final; ``before`` is the piece that ends where it begins."""
         # the window: its characters, and for each boundary the piece that ends there and the path's score
-        text, last, total = "", [""], [0.0]
+        text, last, total = "", [before], [0.0]
         step = 2 * self.longest
         limit = 2 * step
         for chunk in chunks:
@@ -151,9 +156,9 @@ class Lattice:
         if text:
             yield self._path(last, len(text))
 
-    def _meeting(self, last: list[str]) -> int:
+    def _meeting(self, last: list[str | None]) -> int:
         """The boundary in which the paths of all positions that can still be extended meet."""
-        open_ = set(range(max(0, len(last) - self.longest), len(last)))
+        open_ = {i for i in range(max(0, len(last) - self.longest), len(last)) if last[i] is not None}
         while len(open_) > 1:
             at = max(open_)
             open_.discard(at)
@@ -170,12 +175,12 @@ class Lattice:
 
 
 class LockStep:
-    """The search of a BPE model over many short stretches at once, a boundary of each a step."""
+    """The streaming search of a BPE model over many stretches at once, a boundary of each a step."""
 
     def __init__(self, lattice: Lattice, id_of: dict[str, int], byte_ids: list[int]):
         self.lattice = lattice
         id_of = {p: i for p, i in id_of.items() if p in lattice.usable} | {chr(b): i for b, i in enumerate(byte_ids[:128]) if chr(b) not in lattice.scores}
-        self.piece = {i: p for p, i in id_of.items()}
+        self.id_of, self.piece = id_of, {i: p for p, i in id_of.items()}
         names = sorted(id_of)
         raw = [p.encode() for p in names]
         ends = np.cumsum([len(r) for r in raw])
@@ -202,10 +207,42 @@ class LockStep:
         """Ids of each text; None for one that holds a character without a piece."""
         out: list[list[int] | None] = []
         for at in range(0, len(texts), 1 << 16):
-            out += self._search(texts[at : at + (1 << 16)])
+            out += self._stream(texts[at : at + (1 << 16)])
+        return out
+
+    def _stream(self, texts: list[bytes]) -> list[list[int] | None]:
+        out: list[list[int] | None] = [[] for _ in texts]
+        # texts not yet ended: which, where the window begins, where it ends, the piece that ends at its beginning
+        live = [(i, 0, self._grown(t, 0, 0), -2) for i, t in enumerate(texts) if t]
+        while live:
+            if len(live) < FEW:
+                for i, a, _, seed in live:
+                    rest = [self.id_of.get(p) for found in self.lattice.stream([texts[i][a:].decode()], self.piece.get(seed, "")) for p in found]
+                    out[i] = None if None in rest else out[i] + rest
+                break
+            found = self._search([texts[i][a:b] for i, a, b, _ in live], [seed for *_, seed in live], [b == len(texts[i]) for i, _, b, _ in live])
+            more = []
+            for (i, a, b, seed), committed in zip(live, found, strict=True):
+                if committed is None:
+                    out[i] = None
+                    continue
+                ids, size = committed
+                out[i] += ids
+                if b < len(texts[i]):
+                    more.append((i, a + size, self._grown(texts[i], a + size, b), ids[-1] if ids else seed))
+            live = more
         return out
 
-    def _search(self, texts: list[bytes]) -> list[list[int] | None]:
+    @staticmethod
+    def _grown(text: bytes, begin: int, end: int) -> int:
+        """Where a window ends next: by as much again as is undecided if that is more than WINDOW, before a character."""
+        end = min(len(text), end + max(WINDOW, end - begin))
+        while end < len(text) and text[end] & 0xC0 == 0x80:
+            end += 1
+        return end
+
+    def _search(self, texts: list[bytes], seeds: list[int], final: list[bool]) -> list[tuple[list[int], int] | None]:
+        """For each window the ids up to the boundary in which its paths meet, and that boundary; the end if final."""
         n, size = len(texts), np.array([len(t) for t in texts], np.int64)
         data = np.frombuffer(b"".join(texts), np.uint8)
         off = np.concatenate([[0], np.cumsum(size)])
@@ -232,7 +269,7 @@ class LockStep:
         begin, end, piece, local = begin[order], end[order], piece[order], local[order]
         start = off[:-1] + np.arange(n)
         last, back = np.full(len(data) + n, -1, np.int64), np.zeros(len(data) + n, np.int64)
-        last[start] = -2
+        last[start] = seeds
         cuts = np.searchsorted(local, np.arange(1, (int(local[-1]) if len(local) else 0) + 2))
         for a, b in zip(cuts, cuts[1:], strict=False):
             before, mine = last[begin[a:b]], np.arange(a, b)
@@ -243,19 +280,32 @@ class LockStep:
             last[end[mine]], back[end[mine]] = piece[mine], begin[mine]
         pos = off[1:] + np.arange(n)
         done = last[pos] >= 0
-        which = np.flatnonzero(done)
+        for i in np.flatnonzero(done & ~np.array(final)).tolist():
+            pos[i] = self._meeting(back, last, int(start[i]), int(pos[i]))
+        size = pos - start
+        which = np.flatnonzero(done & (size > 0))
         pos, paths = pos[which], []
         while len(which):
             paths.append((which, last[pos]))
             pos = back[pos]
-            keep = last[pos] >= 0
+            keep = pos > start[which]
             which, pos = which[keep], pos[keep]
         if not paths:
-            return [[] if not s else None for s in size.tolist()]
+            return [([], 0) if d else None for d in done.tolist()]
         text, ids = np.concatenate([w for w, _ in paths[::-1]]), np.concatenate([i for _, i in paths[::-1]])
         order = np.argsort(text, kind="stable")
         flat, edge = ids[order].tolist(), np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n))]).tolist()
-        return [flat[a:b] if d else None for a, b, d in zip(edge, edge[1:], done.tolist(), strict=False)]
+        return [(flat[a:b], s) if d else None for a, b, s, d in zip(edge, edge[1:], size.tolist(), done.tolist(), strict=False)]
+
+    def _meeting(self, back: np.ndarray, last: np.ndarray, start: int, end: int) -> int:
+        """The boundary in which the paths of all boundaries that a further piece can begin at meet."""
+        at = max(start, end - self.longest + 1)
+        open_ = set((np.flatnonzero(last[at : end + 1] >= 0) + at).tolist())
+        while len(open_) > 1:
+            most = max(open_)
+            open_.discard(most)
+            open_.add(max(start, int(back[most])))
+        return open_.pop()
 
 
 class ViterbiEncoder(PieceEncoder):
@@ -312,10 +362,7 @@ class ViterbiEncoder(PieceEncoder):
 
     def _ids_of(self, pieces: list[tuple[int, bytes]]) -> list[tuple[int, list[int]]]:
         texts = [b.replace(b" ", MARK.encode()) for _, b in pieces]
-        found: list[list[int] | None] = [None] * len(texts)
-        short = [i for i, t in enumerate(texts) if len(t) <= SHORT] if self.bpe else []
-        for i, ids in zip(short, self.steps.search([texts[i] for i in short]), strict=True) if short else ():
-            found[i] = ids
+        found = self.steps.search(texts) if self.bpe else [None] * len(texts)
         return [(h, self.search(t.decode()) if ids is None else ids) for (h, _), t, ids in zip(pieces, texts, found, strict=True)]
 
     def _odd(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
