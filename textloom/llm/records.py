@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from textloom.llm.common import written
 from textloom.llm.pieces import encoder, public_path
 
-END, FILE_BYTES, GROUP = 0, 64 << 20, 1024
+#: READERS: tasks that read files, at most.
+END, FILE_BYTES, GROUP, READERS = 0, 64 << 20, 1024, 10_000
 HEAD = struct.Struct("<qBBQ")
 FRAME, CRC = struct.Struct("<QI"), struct.Struct("<I")
 MANIFEST = "part long, number long, data string, index string, records long, ids long"
@@ -170,7 +171,11 @@ def positions(manifest: DataFrame) -> DataFrame:
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every record of the manifest's files, each file read by one task."""
+    """doc_id, start, n_tokens and ids_crc32 of every record of the manifest's files, each file read by one task.
+
+    The number of tasks is that of the files, READERS at most: left open, it would follow the bytes of the manifest, and one
+    task would read all files.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,4 +188,4 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                     raise CorruptRecord(f"{f['data']} has not what the manifest says")
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return positions(manifest).repartition("part", "number").mapInArrow(run, ROW)
+    return positions(manifest).repartitionByRange(min(max(manifest.count(), 1), READERS), "part", "number").mapInArrow(run, ROW)
