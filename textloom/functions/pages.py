@@ -6,7 +6,9 @@ Text belongs to the innermost open block, once; a paragraph that is not closed e
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -28,6 +30,7 @@ _BLOCK = frozenset("address article aside blockquote body br dd details div dl d
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HIDDEN = frozenset("script style template noscript".split())
 _UNITS = frozenset("p li blockquote".split())
+_REFERENCE = re.compile(r"&(?!amp)(?!#(?:\d+|[xX][0-9a-fA-F]+);)(?=[#\w])(\w+;)?")
 
 
 def hrefs(html: Column | str) -> Column:
@@ -162,21 +165,26 @@ class _Page(HTMLParser):
                 unit[3] += len(s)
 
 
-def parse(page: str | None, containers: Sequence[str] = DEFAULT_CONTAINERS) -> dict:
-    """What PAGE lists: container -1 is the whole page, others are positions among the selectors (first match of each)."""
+def parse(page: str | None, containers: Sequence[str] = DEFAULT_CONTAINERS, open_references: bool = True) -> dict:
+    """What PAGE lists: container -1 is the whole page, others are positions among the selectors (first match of each).
+
+    Browsers decode some character references that have no semicolon (a title cut after ``&quot``). Without
+    ``open_references`` these are text, but for ``&amp``.
+    """
     p = _Page(containers)
-    p.feed(page or "")
+    page = page or ""
+    p.feed(page if open_references else _REFERENCE.sub(lambda m: m[0] if m[1] in html5 else "&amp;" + m[0][1:], page))
     p.close()
     blocks = [{"container": c, "tag": tag, "text": " ".join(parts), "linked": linked} for tag, inside, parts, linked in p.units if parts for c in (-1, *inside)]
     return {"h1": " ".join(p.first["h1"]) if "h1" in p.first else None, "title": " ".join(p.first["title"]) if "title" in p.first else None, "og_title": p.og, "lines": p.lines, "blocks": blocks}
 
 
-def parsed(html: Column | str, containers: Sequence[str] = DEFAULT_CONTAINERS) -> Column:
+def parsed(html: Column | str, containers: Sequence[str] = DEFAULT_CONTAINERS, open_references: bool = True) -> Column:
     containers = tuple(containers)
 
     @F.pandas_udf(PAGE)
     def run(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse(x, containers) for x in pages], columns=["h1", "title", "og_title", "lines", "blocks"])
+        return pd.DataFrame([parse(x, containers, open_references) for x in pages], columns=["h1", "title", "og_title", "lines", "blocks"])
 
     return run(col(html))
 
@@ -235,13 +243,13 @@ def with_fallback(main: Column, fallback: Column, below: int = 1) -> Column:
 
 
 def extracted(
-    pages: DataFrame, source: str, containers: Sequence[str] = DEFAULT_CONTAINERS, rules: Rules | None = None, paragraph: int = 35, least: int = 200, names: Sequence[str] = (), pick: str = "priority", date_form: str | None = None, keep: Sequence[str] = ()
+    pages: DataFrame, source: str, containers: Sequence[str] = DEFAULT_CONTAINERS, rules: Rules | None = None, paragraph: int = 35, least: int = 200, names: Sequence[str] = (), pick: str = "priority", date_form: str | None = None, open_references: bool = True, keep: Sequence[str] = ()
 ) -> DataFrame:
     """ARTICLE columns of every page (url, html), each parsed once, whatever it gives; columns in ``keep`` come along.
 
     ``pick`` is "priority" (paragraphs of so many characters in the first container), "length" (the longest container), or
     "main" (the main text, and where that is shorter than ``least`` what "priority" gives). ``date_form`` is looked for in
-    the page's text where its metadata and address give no date.
+    the page's text where its metadata and address give no date. ``open_references``: see ``parse``.
     """
     rules, n = rules or Rules(), len(containers)
     page = F.col("_page")
@@ -254,7 +262,7 @@ def extracted(
     published = F.nullif(dates.published("html", lines, "url"), F.lit(""))
     if date_form:
         published = F.coalesce(published, dates.in_text(lines, date_form))
-    return pages.select("url", "html", *keep, parsed("html", containers).alias("_page")).select(F.lit(source).alias("source"), heading.alias("title"), published.alias("published_at"), "url", body.alias("text"), *keep)
+    return pages.select("url", "html", *keep, parsed("html", containers, open_references).alias("_page")).select(F.lit(source).alias("source"), heading.alias("title"), published.alias("published_at"), "url", body.alias("text"), *keep)
 
 
 def refused(least: int) -> Column:

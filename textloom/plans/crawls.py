@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import pages as P
@@ -26,12 +26,15 @@ def over_http(make: Callable[[], list] = http.providers, delay: float = 1.0) ->
 
 
 def stored(pages: DataFrame) -> Fetch:
-    """Pages of a table (url, html); of an address that is there more than once the least page. Others are errors."""
-    one = pages.filter(F.col("html").isNotNull()).groupBy("url").agg(F.min("html").alias("html"))
+    """Pages of a table (url, html). An address that is there more than once gives its pages in turn, the least first and the last for every further request. Others are errors."""
+    of = Window.partitionBy("url").orderBy("html")
+    kept = pages.filter(F.col("html").isNotNull()).select("url", "html", F.row_number().over(of).alias("_n"), F.lead("url").over(of).isNull().alias("_last"))
 
     def fetch(addresses: DataFrame) -> DataFrame:
-        got = addresses.select("url").join(one, "url", "left")
-        there = F.col("html").isNotNull()
+        asked = addresses.groupBy("url").agg(F.count(F.lit(1)).alias("_asked"))
+        there, n, times = F.col("html").isNotNull(), F.col("_n"), F.col("_asked")
+        rows = F.when(~there, times).when(n > times, 0).when(F.col("_last"), times - n + 1).otherwise(1)
+        got = asked.join(kept, "url", "left").filter(rows > 0).select("url", "html", F.explode(F.sequence(F.lit(1).cast("long"), rows)))
         return got.select("url", F.when(there, 200).alias("status"), "html", F.when(~there, F.lit("RuntimeError: HTTP 404")).alias("error"))
 
     return fetch

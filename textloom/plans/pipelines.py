@@ -29,10 +29,11 @@ class Site:
     names: tuple[str, ...] = ()
     pick: str = "priority"
     date_form: str | None = None
+    open_references: bool = True
 
     def how(self) -> dict:
         """Arguments of the page extraction."""
-        return {k: getattr(self, k) for k in ("containers", "rules", "paragraph", "least", "names", "pick", "date_form")}
+        return {k: getattr(self, k) for k in ("containers", "rules", "paragraph", "least", "names", "pick", "date_form", "open_references")}
 
 
 def article_urls(pages: DataFrame, site: Site, limit: int, page_no: str = "page_no", max_pages: int | None = None, stop: bool = True) -> DataFrame:
