@@ -24,3 +24,16 @@ def test_open_references():
     page = "<h1>a &quot b &copy; &copyx &ampc &#39; &#39 &notin; &nosuch; & d</h1>"
     assert pages.parse(page)["h1"] == 'a " b © ©x &c \' \' ∉ &nosuch; & d'
     assert pages.parse(page, open_references=False)["h1"] == "a &quot b © &copyx &c ' &#39 ∉ &nosuch; & d"
+
+
+TEXT = "A sentence of words, one. Another and.\nsecond line of it, too."
+ODD = ["", None, " ", "\n", "\n\n\n", "\t", "\n" + TEXT, "\n\n " + TEXT, " \n" + TEXT, TEXT + "\n", TEXT + " \t", TEXT + "\n\n", TEXT + " \n \n \n \n" + TEXT, TEXT + "e\u0301", "\u0301" + TEXT, '"', '""', f'"{TEXT}"', TEXT + "\\", TEXT + '\\"', ",", "a\n,\"b\"", "null", "\\N", "#x"]
+AS_CSV = [*ODD, TEXT + "\r\n" + TEXT, "\r" + TEXT, TEXT + "\r", "\x00" + TEXT, "\x01" + TEXT + "\x01", "\ufeff" + TEXT, "\xa0" + TEXT + "\u2028"]
+
+
+@pytest.mark.parametrize("name,texts", [("csv_articles", AS_CSV), ("nfkc", ODD)])
+def test_texts_match_sql(spark, tmp_path, name, texts):
+    """Texts that are empty, begin or end with white space, or hold what CSV gives a meaning."""
+    n = len(texts)
+    pq.write_table(pa.table({"doc_id": range(n), "text": texts, "lang": ["en", "", None, " x "] * (n // 4) + ["en"] * (n % 4), "source": ["src1"] * n}), f"{tmp_path}/documents.parquet")
+    assert check(spark, Q.QUERIES[name], Q.SQL[name], str(tmp_path)) == n

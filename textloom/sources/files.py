@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -11,7 +12,9 @@ from pyspark.sql.types import StructType
 
 from textloom.schemas import ARTICLE, CHAT, QA
 
-CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
+# the last one is NUL by default, and NULs in quoted fields would go
+CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8", "charToEscapeQuoteEscaping": '"'}
+AS_IT_IS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def by_name(df: DataFrame, schema: StructType) -> DataFrame:
@@ -20,8 +23,12 @@ def by_name(df: DataFrame, schema: StructType) -> DataFrame:
 
 
 def read_articles_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Articles from CSV with a header in any column order: quoted line feeds, doubled quotes, byte-order marks."""
-    return by_name(spark.read.options(**CSV).csv(path), ARTICLE)
+    """Articles from CSV with a header in any column order: quoted line feeds, doubled quotes, byte-order marks.
+
+    An empty field is null, one of two quotes an empty string. (Spark reads both as its null value, "" unless told
+    otherwise; a random one is equal to no field.)
+    """
+    return by_name(spark.read.options(**CSV, nullValue=uuid.uuid4().hex, emptyValue="").csv(path), ARTICLE)
 
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
@@ -94,13 +101,13 @@ def _one_file(df: DataFrame, one_file: bool) -> DataFrame:
 
 
 def write_articles_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
-    """Replaces the target; minimal quoting, header always."""
-    _one_file(by_name(df, ARTICLE), one_file).write.mode("overwrite").options(header=True, escape='"').csv(path)
+    """Replaces the target; minimal quoting, header always. White space at the ends of a field stays."""
+    _one_file(by_name(df, ARTICLE), one_file).write.mode("overwrite").options(header=True, escape='"', **AS_IT_IS).csv(path)
 
 
 def write_qa_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
-    """All fields quoted. Line feeds inside fields stay as they are."""
-    _one_file(by_name(df, QA), one_file).write.mode("overwrite").options(header=True, quoteAll=True, escape='"').csv(path)
+    """All fields quoted. Line feeds inside fields and white space at their ends stay as they are."""
+    _one_file(by_name(df, QA), one_file).write.mode("overwrite").options(header=True, quoteAll=True, escape='"', **AS_IT_IS).csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False, keep_nulls: bool = False, one_file: bool = False) -> None:
