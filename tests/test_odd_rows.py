@@ -6,7 +6,7 @@ import pytest
 from oracle import check
 
 from textloom import queries as Q
-from textloom.functions import pages
+from textloom.functions import pages, text
 
 
 @pytest.mark.parametrize("name", ["crawl_collected", "html_text", "html_longest"])
@@ -37,3 +37,19 @@ def test_texts_match_sql(spark, tmp_path, name, texts):
     n = len(texts)
     pq.write_table(pa.table({"doc_id": range(n), "text": texts, "lang": ["en", "", None, " x "] * (n // 4) + ["en"] * (n % 4), "source": ["src1"] * n}), f"{tmp_path}/documents.parquet")
     assert check(spark, Q.QUERIES[name], Q.SQL[name], str(tmp_path)) == n
+
+
+def test_slices_keep_every_text():
+    texts = pa.array(["", "a" * 9, None, "bb", "c" * 3, "d", ""])
+    parts = [p.to_pylist() for p in text.slices(texts, 4)]
+    assert parts == [[""], ["a" * 9], [None, "bb"], ["ccc", "d", ""]]
+    assert list(text.slices(texts.slice(0, 0), 4)) == [] and sum(parts, []) == texts.to_pylist()
+
+
+def test_pages_are_parsed_in_slices(spark):
+    """However many pages an Arrow batch has, no more bytes of them than a slice are parsed at a time."""
+    html = [f"<h1>{n}</h1>" + "x" * (pages.SLICE // 3) for n in range(8)]
+    parts = [p.to_pylist() for p in pages.parse_batches(iter([pa.array([*html, None])]))]
+    assert [len(p) for p in parts] == [2, 2, 2, 3] and [r["h1"] for p in parts for r in p] == [*"01234567", None]
+    df = spark.createDataFrame([(h,) for h in [*html, None]], "h string").coalesce(1)
+    assert [r[0] for r in df.select(pages.parsed("h")["h1"]).collect()] == [*"01234567", None]

@@ -7,11 +7,11 @@ Text belongs to the innermost open block, once; a paragraph that is not closed e
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from html.entities import html5
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +25,8 @@ OG_TITLE = r"""(?is)<meta\b[^>]*\bproperty\s*=\s*["']og:title["'][^>]*\bcontent\
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
 
 PAGE = "struct<h1:string,title:string,og_title:string,lines:array<string>,blocks:array<struct<container:int,tag:string,text:string,linked:int>>>"
+_ARROW = pa.struct({"h1": pa.string(), "title": pa.string(), "og_title": pa.string(), "lines": pa.list_(pa.string()), "blocks": pa.list_(pa.struct({"container": pa.int32(), "tag": pa.string(), "text": pa.string(), "linked": pa.int32()}))})
+SLICE = 1 << 20
 DEFAULT_CONTAINERS = ("article", "main article", "div.post-content", "div.entry-content", "main")
 _BLOCK = frozenset("address article aside blockquote body br dd details div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -179,12 +181,19 @@ def parse(page: str | None, containers: Sequence[str] = DEFAULT_CONTAINERS, open
     return {"h1": " ".join(p.first["h1"]) if "h1" in p.first else None, "title": " ".join(p.first["title"]) if "title" in p.first else None, "og_title": p.og, "lines": p.lines, "blocks": blocks}
 
 
+def parse_batches(batches: Iterator[pa.Array], containers: Sequence[str] = DEFAULT_CONTAINERS, open_references: bool = True) -> Iterator[pa.Array]:
+    """PAGE structs of Arrow batches of any size: the objects of SLICE bytes of pages (or of one page) are held at a time."""
+    for pages in batches:
+        for part in text.slices(pages, SLICE):
+            yield pa.array([parse(x, containers, open_references) for x in part.to_pylist()], _ARROW)
+
+
 def parsed(html: Column | str, containers: Sequence[str] = DEFAULT_CONTAINERS, open_references: bool = True) -> Column:
     containers = tuple(containers)
 
-    @F.pandas_udf(PAGE)
-    def run(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse(x, containers, open_references) for x in pages], columns=["h1", "title", "og_title", "lines", "blocks"])
+    @F.arrow_udf(PAGE)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return parse_batches(batches, containers, open_references)
 
     return run(col(html))
 
