@@ -1,5 +1,8 @@
 """Registered queries against their SQL on rows that the tables hardly hold."""
 
+import random
+import re
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -53,3 +56,20 @@ def test_pages_are_parsed_in_slices(spark):
     assert [len(p) for p in parts] == [2, 2, 2, 3] and [r["h1"] for p in parts for r in p] == [*"01234567", None]
     df = spark.createDataFrame([(h,) for h in [*html, None]], "h string").coalesce(1)
     assert [r[0] for r in df.select(pages.parsed("h")["h1"]).collect()] == [*"01234567", None]
+
+
+def test_white_space_and_lines_are_pythons(spark):
+    """Random texts of white space and line ends of all kinds, against Python's own; each text is split once."""
+    rng = random.Random(5)
+    some = "ab \t\n\n\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0      　​\x00"
+    texts = ["".join(rng.choices(some, k=rng.randint(0, 24))) for _ in range(3000)] + ["", "\n", "a\n", "\r\n", "a \n\n\n b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", text.strip("t").alias("a"), text.lines("t").alias("b"), text.boilerplate("t").alias("c"), text.boilerplate("t", drop=["A"]).alias("d"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
+
+    def boilerplate(t, drop):
+        kept = [s for s in t.replace("\x00", " ").strip().splitlines() if not s.strip().startswith(drop)]
+        return re.sub("\n{3,}", "\n\n", "\n".join(s if s.strip() else "" for s in kept)).strip()
+
+    for t, *row in got.collect():
+        assert row == [t.strip(), t.splitlines(), boilerplate(t, "none"), boilerplate(t, "a")], repr(t)
